@@ -135,10 +135,6 @@ class Passages:
                 begin = pos[part] - k * n - self.budget
                 span = np.clip(begin[:, None] + np.arange(self.window + 2 * self.budget), 0, len(w) - 1)
                 edits[part] = np.minimum(edits[part], myers(p, w[span]))
-        good = edits <= self.budget
-        pos, here, row, edits = pos[good], here[good], row[good], edits[good]
-        if not len(pos):
-            return none, none, none, none
         item = self.item[here]
         # exact check: hits that follow each other on one diagonal are one run of equal words
         order = np.lexsort((pos, here - pos, row))
@@ -148,6 +144,10 @@ class Passages:
         size = np.diff(np.append(head, len(p)))
         run = np.empty(len(p), np.int64)
         run[order] = np.repeat(size + n - 1, size)
+        good = edits <= self.budget
+        row, item, edits, run = row[good], item[good], edits[good], run[good]
+        if not len(row):
+            return none, none, none, none
         pair, back = np.unique(np.stack([row, item], 1), axis=0, return_inverse=True)
         back = back.reshape(-1)
         least, longest = np.full(len(pair), self.window, np.int64), np.zeros(len(pair), np.int64)
