@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import canonical_language
 from ..sources.tables import sound_spans, table
-from . import leaks, neardup, packing, pieces, quantiles, tokens
+from . import language, leaks, neardup, packing, pieces, quantiles, subjects, tokens
 
 PERMILLE = (10, 250, 500, 750, 900, 990)
 
@@ -52,6 +52,23 @@ def p1_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
 
 
+def _result_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "transcription_results")
+    told = r.select(F.struct("result_id", canonical_language(F.col("detected_language")).alias("label")).alias("k"), "full_text", F.col("segments.text").alias("texts"))
+    found = language.languages(told, language.train(r), "k", "full_text", F.col("texts"))
+    return found.select("k.result_id", "k.label", "seg_no", "lang", "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = (F.col("seg_no") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    return _result_languages(spark, sf_dir).where(wrong).select("result_id", "seg_no", "lang").distinct()
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every result of 20 words or more, and of its segments in another language."""
+    return _result_languages(spark, sf_dir).select("result_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.Similar(table(spark, sf_dir, "transcription_results")).all_pairs()
 
@@ -120,12 +137,27 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subjects.shares(docs, subjects.mine(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(spark, sf_dir).where(F.col("share") >= subjects.SHARE).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents about each subject, and words about it, over the whole corpus."""
+    s = _shares(spark, sf_dir)
+    return s.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.SHARE).alias("documents"), F.sum("words").alias("words"), F.round(F.sum(F.col("words") * F.col("confidence")) / F.sum("words"), 4).alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_token_budget, p1_token_budget_documents, p1_document_tokens, p4_found, p4_classes, p5_found, p5_pause_cuts,
-            p6_percentiles, p6_combined_days, p6_result_percentiles, p7_packing, p7_fill, p8_found, p8_leaks,
+            p1_token_budget, p1_token_budget_documents, p1_document_tokens, p2_found, p2_languages, p4_found, p4_classes, p5_found, p5_pause_cuts,
+            p6_percentiles, p6_combined_days, p6_result_percentiles, p7_packing, p7_fill, p8_found, p8_leaks, p9_found, p9_composition,
         )
     }
 
