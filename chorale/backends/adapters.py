@@ -1,0 +1,147 @@
+"""Adapters of speech and separation libraries, imported only when a task loads a model.
+
+None of the libraries is needed to use this package, and none was available to run these adapters
+against; they follow the libraries' public interfaces. All of them hand the file's path to the library.
+"""
+
+from __future__ import annotations
+
+import gc
+import time
+from typing import Any
+
+from .base import register
+
+
+def _device() -> str:
+    import torch
+
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
+@register("openai")
+class OpenAI:
+    name, options = "openai", ()
+
+    def load(self, model: str) -> None:
+        import whisper
+
+        if model not in whisper.available_models():
+            raise ValueError(f"unknown model {model!r}")
+        self.model = whisper.load_model(model)
+
+    def transcribe(self, path: str, content: Any) -> dict[str, Any]:
+        r = self.model.transcribe(path)
+        return {"full_text": r["text"], "segments": [{k: s[k] for k in ("text", "start", "end")} for s in r["segments"]], "detected_language": r["language"]}
+
+
+class _Pipeline:
+    chunk_seconds: int | None = None
+
+    def load(self, model: str, batch_size: int = 16) -> None:
+        import torch
+        from transformers import pipeline
+
+        device = _device()
+        self.batch_size = batch_size
+        self.pipe = pipeline("automatic-speech-recognition", model=model, torch_dtype=torch.float16 if device == "cuda" else torch.float32, device=device, return_timestamps=True)
+
+    def transcribe(self, path: str, content: Any) -> dict[str, Any]:
+        more = {"chunk_length_s": self.chunk_seconds, "batch_size": self.batch_size} if self.chunk_seconds else {}
+        r = self.pipe(path, **more)
+        # the language may be missing and the last end open; both are kept as NULL
+        parts = [{"text": c["text"], "start": c["timestamp"][0], "end": c["timestamp"][1]} for c in r.get("chunks", [])]
+        return {"full_text": r["text"], "segments": parts, "detected_language": r.get("language")}
+
+
+@register("hf-sequential")
+class PipelineSequential(_Pipeline):
+    name, options = "hf-sequential", ()
+
+
+@register("hf-chunked")
+class PipelineChunked(_Pipeline):
+    name, options, chunk_seconds = "hf-chunked", ("batch_size",), 30
+
+
+class _Faster:
+    batched = False
+
+    def load(self, model: str, beam_size: int = 5, vad: bool = False, batch_size: int = 16) -> None:
+        from faster_whisper import BatchedInferencePipeline, WhisperModel
+
+        device = _device()
+        self.model = WhisperModel(model, device=device, compute_type="float16" if device == "cuda" else "float32")
+        if self.batched:
+            self.model = BatchedInferencePipeline(model=self.model)
+        self.set = {"beam_size": beam_size, "vad_filter": vad, "condition_on_previous_text": False, "initial_prompt": None} | ({"batch_size": batch_size} if self.batched else {})
+
+    def transcribe(self, path: str, content: Any) -> dict[str, Any]:
+        lazy, info = self.model.transcribe(path, **self.set)
+        parts = [{"text": s.text, "start": s.start, "end": s.end} for s in lazy]  # the work happens here
+        return {"full_text": " ".join(p["text"] for p in parts), "segments": parts, "detected_language": info.language}
+
+
+@register("faster-whisper-sequential")
+class FasterSequential(_Faster):
+    name, options = "faster-whisper-sequential", ("beam_size", "vad")
+
+
+@register("faster-whisper-chunked")
+class FasterChunked(_Faster):
+    name, options, batched = "faster-whisper-chunked", ("beam_size", "vad", "batch_size"), True
+
+
+@register("whisperx")
+class Aligned:
+    name, options = "whisperx", ("beam_size", "batch_size")
+
+    def load(self, model: str, beam_size: int = 5, batch_size: int = 16) -> None:
+        import whisperx
+
+        self.lib, self.device, self.batch_size = whisperx, _device(), batch_size
+        self.model = whisperx.load_model(model, self.device, compute_type="float16" if self.device == "cuda" else "float32", asr_options={"beam_size": beam_size})
+        self.aligners: dict[str, Any] = {}
+
+    def transcribe(self, path: str, content: Any) -> dict[str, Any]:
+        audio = self.lib.load_audio(path)
+        r = self.model.transcribe(audio, batch_size=self.batch_size)
+        began = time.perf_counter()
+        if r["language"] not in self.aligners:  # one alignment model a language is kept
+            self.aligners.clear()
+            gc.collect()
+            self.aligners[r["language"]] = self.lib.load_align_model(language_code=r["language"], device=self.device)
+        took = time.perf_counter() - began
+        model, meta = self.aligners[r["language"]]
+        aligned = self.lib.align(r["segments"], model, meta, audio, self.device, return_char_alignments=False)
+        parts = [{k: s[k] for k in ("text", "start", "end")} for s in aligned["segments"]]
+        return {"full_text": " ".join(p["text"] for p in parts), "segments": parts, "detected_language": r["language"], "alignment_model_load_time": took}
+
+
+@register("spleeter")
+class SpleeterSeparator:
+    name, options = "spleeter", ()
+
+    def load(self, model: str = "spleeter:2stems") -> None:
+        from spleeter.separator import Separator
+
+        self.model = Separator(model)
+
+    def separate(self, samples: Any, rate: int) -> dict[str, Any]:
+        return self.model.separate(samples)
+
+
+@register("demucs")
+class DemucsSeparator:
+    name, options = "demucs", ()
+
+    def load(self, model: str = "htdemucs") -> None:
+        import demucs.api
+
+        self.model = demucs.api.Separator(model=model, device=_device())
+
+    def separate(self, samples: Any, rate: int) -> dict[str, Any]:
+        import torch
+
+        _, stems = self.model.separate_tensor(torch.from_numpy(samples.T.copy()), rate)
+        return {k: v.cpu().numpy().T for k, v in stems.items()}

@@ -1,0 +1,38 @@
+"""The experiment grid: which model runs under which implementation, on which audio versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import AUDIO_TYPES
+
+#: Models and the families of implementations that run them (fixed values).
+MATRIX = (
+    ("large-v2", ("openai", "hf", "faster-whisper", "whisperx")),
+    ("large-v3", ("openai", "hf", "faster-whisper", "whisperx")),
+    ("large-v3-turbo", ("openai", "hf", "faster-whisper", "whisperx")),
+    ("large-v3-turbo-fp8", ("openai", "hf", "faster-whisper", "whisperx")),
+    ("crisper", ("hf", "faster-whisper", "whisperx")),
+    ("lite-large-v3", ("hf",)),
+    ("lite-large-v3-acc", ("hf",)),
+)
+
+
+def matrix(spark: SparkSession) -> DataFrame:
+    """Available pairs: model_name, family."""
+    return spark.createDataFrame([(m, f) for m, fs in MATRIX for f in fs], "model_name string, family string")
+
+
+def versions(df: DataFrame) -> DataFrame:
+    """Every row once for each audio version."""
+    return df.withColumn("audio_type", F.explode(F.array(*[F.lit(t) for t in AUDIO_TYPES.values()])))
+
+
+def family_of(implementation: str = "whisper_implementation") -> Column:
+    return F.regexp_replace(implementation, "-(sequential|chunked)$", "")
+
+
+def missing_versions(recordings: DataFrame, files: DataFrame) -> DataFrame:
+    """Audio versions that a recording lacks: isrc, audio_type."""
+    return versions(recordings.select("isrc").distinct()).join(files.select("isrc", "audio_type").distinct(), ["isrc", "audio_type"], "left_anti")
