@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +101,12 @@ def merge_intervals(df: DataFrame, entity: Sequence[str], spans: Column, shard_b
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             iv = b.column(len(spark_names))
-            counts = np.nan_to_num(pa.compute.list_value_length(iv).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
+            counts = np.nan_to_num(pc.list_value_length(iv).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
             flat = iv.flatten()
             row = np.repeat(np.arange(len(b)), counts)
-            ok = pa.compute.fill_null(pa.compute.greater(pa.compute.struct_field(flat, 1), pa.compute.struct_field(flat, 0)), False).to_numpy(zero_copy_only=False)
+            ok = pc.fill_null(pc.greater(pc.struct_field(flat, 1), pc.struct_field(flat, 0)), False).to_numpy(zero_copy_only=False)
             flat = flat.filter(pa.array(ok))
-            s, e = (pa.compute.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            s, e = (pc.struct_field(flat, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             code = _codes([b.column(i) for i in range(len(spark_names))])
             for r, shard, a, z in split_by_shard(row[ok], s, e, shard_bits):
                 pair, back = np.unique(np.stack([code[r], shard], 1), axis=0, return_inverse=True)
