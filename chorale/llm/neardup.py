@@ -22,13 +22,12 @@ columns. The pairs found come out, never the pairs compared.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,41 +41,49 @@ TILE = 512
 HOT = 20_000
 #: Elements per bucket of blocks that one task takes at once, on average.
 BUCKET = 250_000
-_WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_NO_WORD = r"[^\p{L}\p{N}]+"
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters or digits without regard to case."""
-    return _WORD.findall(text.replace("İ", "i").casefold())
-
-
-def shingles(texts: list[str | None], k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and element of every set, sorted by both. Texts below ``least_words`` have none."""
-    flat: list[str] = []
-    n = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            w = words(t)
-            if len(w) >= max(least_words, k):
-                flat += w
-                n[i] = len(w)
-    if not flat:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    code, distinct = pd.factorize(np.array(flat, object))
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct))[code]
-    m = len(h) - k + 1
+def word_lists(texts: pa.Array) -> pa.Array:
+    """Runs of letters or digits of each text, case as it is; the columnar library splits whole batches."""
+    spaced = pc.utf8_trim(pc.replace_substring_regex(texts, _NO_WORD, " "), " ")
+    return pc.split_pattern(spaced, " ")
+
+
+def word_hash(word: str) -> int:
+    """Equal for words that differ in case only."""
+    return xxhash.xxh64_intdigest(word.casefold().replace("\u0307", ""))
+
+
+def shingles(texts: pa.Array | list[str | None], k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and element of every set, sorted by both. Texts below ``least_words`` have none.
+
+    An element is a 53-bit hash of k words, so at most 2,048 texts can be sorted by one key.
+    """
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    rows = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(texts) > 2048:
+        parts = [shingles(texts.slice(a, 2048), k, least_words) for a in range(0, len(texts), 2048)]
+        return np.concatenate([r + 2048 * i for i, (r, _) in enumerate(parts)]), np.concatenate([g for _, g in parts])
+    lists = word_lists(texts)
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    m = len(flat) - k + 1
+    if m <= 0:
+        return rows
+    h = np.fromiter(map(word_hash, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))[flat.indices.to_numpy()]
     g = np.zeros(m, np.uint64)
     for j in range(k):
         g = (g ^ h[j : j + m]) * _ODD
         g ^= g >> np.uint64(31)
     row = np.repeat(np.arange(len(texts)), n)
-    inside = row[:m] == row[k - 1 :]
-    row, g = row[:m][inside], g[inside]
-    order = np.lexsort((g, row))
-    row, g = row[order], g[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (g[1:] != g[:-1]))
-    return row[new], g[new]
+    inside = (row[:m] == row[k - 1 :]) & (n >= max(least_words, k))[row[:m]]
+    key = np.sort(row[:m][inside].astype(np.uint64) << np.uint64(53) | g[inside] >> np.uint64(11))
+    if not len(key):
+        return rows
+    key = key[np.append(True, key[1:] != key[:-1])]
+    return (key >> np.uint64(53)).astype(np.int64), key & np.uint64((1 << 53) - 1)
 
 
 def fold(row: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
@@ -98,19 +105,20 @@ def distinct_sets(df: DataFrame, key: str, text: str, k: int, least_words: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in _slices(batches):
-            texts = b.column(1).to_pylist()
-            row, g = shingles(texts, k, least_words)
+            row, g = shingles(b.column(1), k, least_words)
             if not len(row):
                 continue
             at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             end = np.append(at[1:], len(row))
             sigs = [xxhash.xxh3_128_digest(g[a:z].tobytes()) for a, z in zip(at, end)]
-            keep = []
-            for s, r in zip(sigs, row[at]):
-                keep.append(None if s in seen else texts[r])
+            known = []
+            for s in sigs:
+                known.append(s in seen)
                 if len(seen) < 1_000_000:  # beyond it texts are sent again, which changes nothing
                     seen.add(s)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(sigs, pa.binary()), pa.array(end - at, pa.int64()), pa.array(keep, pa.string())], names=["id", "sig", "n", "text"])
+            pick = pa.array(row[at])
+            text_or_null = b.column(1).take(pa.array(row[at], mask=np.array(known)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), pa.array(sigs, pa.binary()), pa.array(end - at, pa.int64()), text_or_null], names=["id", "sig", "n", "text"])
 
     return src.mapInArrow(run, "id bigint, sig binary, n bigint, text string")
 
@@ -129,7 +137,7 @@ def frequency_table(reps: DataFrame, k: int, least_words: int, table_bits: int)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int32)
         for b in _slices(batches):
-            _, g = shingles(b.column(0).to_pylist(), k, least_words)
+            _, g = shingles(b.column(0), k, least_words)
             total += np.bincount((g & mask).astype(np.int64), minlength=size).astype(np.int32)
         at = np.flatnonzero(total)
         for part in np.array_split(at, max(1, len(at) // 100_000)):
@@ -216,7 +224,7 @@ def candidate_pairs(reps: DataFrame, rows: int, k: int, least_words: int, num: i
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
         for b in _slices(batches):
-            row, g = shingles(b.column(1).to_pylist(), k, least_words)
+            row, g = shingles(b.column(1), k, least_words)
             if not len(row):
                 continue
             vec = fold(row, g, len(b))
@@ -288,7 +296,7 @@ def verified(pairs: DataFrame, reps: DataFrame, k: int, least_words: int, num: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _slices(batches, 1000):
             left, at = x.column(2).dictionary_encode(), x.column(3).dictionary_encode()
-            texts = left.dictionary.to_pylist() + at.dictionary.to_pylist()
+            texts = pa.concat_arrays([left.dictionary, at.dictionary])
             i, j = left.indices.to_numpy(), at.indices.to_numpy() + len(left.dictionary)
             row, g = shingles(texts, k, least_words)
             cut_at = np.searchsorted(row, np.arange(len(texts) + 1))

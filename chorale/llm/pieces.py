@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,9 +83,9 @@ def cut_items(df: DataFrame, key: str, spans: Column, limit: int, boundary: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             iv = b.column(1)
-            counts = pa.compute.fill_null(pa.compute.list_value_length(iv), 0).to_numpy(zero_copy_only=False)
+            counts = pc.fill_null(pc.list_value_length(iv), 0).to_numpy(zero_copy_only=False)
             flat = iv.flatten()
-            s, e = (pa.compute.fill_null(pa.compute.struct_field(flat, i), 0).to_numpy(zero_copy_only=False) for i in (0, 1))
+            s, e = (pc.fill_null(pc.struct_field(flat, i), 0).to_numpy(zero_copy_only=False) for i in (0, 1))
             row = np.repeat(np.arange(len(b)), counts)
             ok = e > s
             row, s, e = row[ok], s[ok], e[ok]

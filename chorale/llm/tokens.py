@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ def token_counter(spark: SparkSession, path: str = VOCABULARY) -> Callable[[Colu
 
     def count(lists: pa.Array) -> pa.Array:
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         words = lists.flatten().dictionary_encode()
         each = count_pieces(shared.value, words.dictionary.to_pylist(), _memos.setdefault(path, {}))
         run = np.append(0, np.cumsum(each[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)))
