@@ -15,52 +15,71 @@ document once and shuffles nothing.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .words import folded
 
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 5_000
 MIN_PASSAGES = 6  # least passages (and documents, for words) behind a rule
 MIN_CONFIDENCE = 0.5
+MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
-MAX_ITEMS = 6  # telling items of a training passage that go into the mining, the surest first
+MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
 SHARE = 0.25
 LABEL = "="
-_WORD = re.compile(r"[^\W_]+")
-_STOP = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])")
-_END = re.compile(r"[.!?。！？:][\"')\]»”]*$")
+VERSE = "#verse"
+_STOP = r"([.!?;])\s+|([。！？；])"
+_OPEN = r"[^\s.!?;:。！？；][\"')\]»”]*$"
 
 
-def passages(text: str | None) -> list[tuple[list[str], int]]:
-    """Items and number of words of each passage. Items are distinct folded words and form marks.
+class Passages:
+    """The passages of a batch of texts as flat arrays: lines, and sentences within lines.
 
-    ``#verse`` marks a line among lines that end in no full stop.
+    ``text``, ``words``: number of the text and count of the words of each passage that has words.
+    ``at``, ``code``: passage and item of each distinct item, sorted; ``items`` names the codes. Items are
+    folded words that aren't mere digits, and ``VERSE``, which marks passages of four words or more that
+    end in no stop and have such a neighbour.
     """
-    if not text:
-        return []
-    lines = [x.strip() for x in folded(text).splitlines()]
-    open_end = [bool(x) and not _END.search(x) for x in lines]
-    out = []
-    for i, x in enumerate(lines):
-        if not x:
-            continue
-        verse = open_end[i] and ((i > 0 and open_end[i - 1]) or (i + 1 < len(lines) and open_end[i + 1]))
-        for part in _STOP.split(x):
-            ws = _WORD.findall(part)
-            if ws:
-                items = set(w for w in ws if not w.isdigit())
-                if verse and len(ws) >= 4:
-                    items.add("#verse")
-                out.append((sorted(items), len(ws)))
-    return out
+
+    def __init__(self, texts: pa.Array | list[str | None]):
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        whole = pa.array([folded(t) if t else "" for t in texts], pa.string())
+        lines = pc.split_pattern_regex(pc.replace_substring_regex(whole, _STOP, "\\1\\2\n"), r"\r\n|[\n\r\v\f]|\x85|\x{2028}|\x{2029}")
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy())
+        flat = lines.flatten()
+        words = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(flat, r"[^\p{L}\p{N}]+", " "), " "), " ")
+        n = pc.list_value_length(words).to_numpy().astype(np.int64)
+        n[pc.equal(pc.list_element(words, 0), "").to_numpy(zero_copy_only=False)] = 0  # a line of marks only
+        open_end = pc.match_substring_regex(pc.utf8_trim_whitespace(flat), _OPEN).to_numpy(zero_copy_only=False) & (n > 0)
+        same = text[1:] == text[:-1]
+        beside = np.zeros(len(text), bool)
+        beside[1:] |= open_end[:-1] & same
+        beside[:-1] |= open_end[1:] & same
+        verse = open_end & beside & (n >= 4)
+        encoded = words.flatten().dictionary_encode()
+        self.items: list[str] = [*encoded.dictionary.to_pylist(), VERSE]
+        useful = np.array([bool(w) and not w.isdigit() for w in self.items[:-1]], bool)
+        owner = np.repeat(np.arange(len(text)), pc.list_value_length(words).to_numpy())
+        code = encoded.indices.to_numpy().astype(np.int64)
+        keep = useful[code] if len(code) else np.zeros(0, bool)
+        marked = np.flatnonzero(verse)
+        pair = np.unique(np.append(owner[keep], marked) << 32 | np.append(code[keep], np.full(len(marked), len(self.items) - 1)))
+        number = np.cumsum(n > 0) - 1  # passages without words are left out
+        self.text, self.words = text[n > 0], n[n > 0]
+        self.at, self.code = number[pair >> 32], pair & 0xFFFFFFFF
+
+    def lists(self) -> pa.Array:
+        """The items of each passage as an array of strings."""
+        ends = np.searchsorted(self.at, np.arange(len(self.words) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.items, pa.string()).take(pa.array(self.code)))
 
 
 class Rules:
@@ -71,12 +90,14 @@ class Rules:
         items = sorted({x for k in rules for x in k})
         self.index = {x: i for i, x in enumerate(items)}
         self.single = np.zeros((len(items), len(subjects)), np.float32)
+        self.in_pair = np.zeros(len(items), bool)
         pairs: dict[int, np.ndarray] = {}
         for k, by in rules.items():
             if len(k) == 1:
                 target = self.single[self.index[k[0]]]
             else:
                 a, b = sorted(self.index[x] for x in k)
+                self.in_pair[[a, b]] = True
                 target = pairs.setdefault(a * len(items) + b, np.zeros(len(subjects), np.float32))
             for c, e in by.items():
                 target[c] = e
@@ -84,66 +105,61 @@ class Rules:
         self.pair = np.stack([pairs[k] for k in self.keys]) if pairs else np.zeros((1, len(subjects)), np.float32)
         self.curve = (np.array([0.0, 1e9]), np.array([0.5, 0.5]))
 
-    def evidence(self, transactions: list[list[str]]) -> np.ndarray:
+    def evidence(self, p: Passages) -> np.ndarray:
         """Summed evidence of the matching rules per passage and subject."""
-        get = self.index.get
-        out = np.zeros((len(transactions), len(self.subjects)), np.float32)
-        row, item = [], []
-        for i, t in enumerate(transactions):
-            ids = [k for k in map(get, t) if k is not None]
-            row += [i] * len(ids)
-            item += ids
-        if not row:
+        out = np.zeros((len(p.words), len(self.subjects)), np.float32)
+        item = np.array([self.index.get(w, -1) for w in p.items], np.int64)[p.code]
+        some = item >= 0
+        r, x = p.at[some], item[some]
+        if not len(r):
             return out
-        r, x = np.array(row), np.array(item, np.int64)
-        order = np.lexsort((x, r))
-        r, x = r[order], x[order]
         at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
         out[r[at]] = np.add.reduceat(self.single[x], at, axis=0)
-        if len(self.keys):
-            end = np.repeat(np.append(at[1:], len(r)), np.diff(np.append(at, len(r))))
-            pos = np.arange(len(r))
-            for step in range(1, int((end - pos).max()) if len(pos) else 0):
-                i = pos[pos + step < end]
-                if not len(i):
-                    break
-                key = x[i] * len(self.index) + x[i + step]
-                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[k] == key
-                np.add.at(out, r[i[hit]], self.pair[k[hit]])
+        both = self.in_pair[x]
+        r, x = r[both], x[both]
+        order = np.lexsort((x, r))
+        r, x = r[order], x[order]
+        step = 1
+        while step < len(r):
+            i = np.flatnonzero(r[step:] == r[:-step])  # passages with that many items in pairs
+            if not len(i):
+                break
+            key = x[i] * len(self.index) + x[i + step]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            np.add.at(out, r[i[hit]], self.pair[k[hit]])
+            step += 1
         return out
 
-    def assign(self, transactions: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Subject of each passage (-1: none) and the calibrated chance that it is right."""
-        e = self.evidence(transactions)
-        if not len(e):
-            return np.zeros(0, np.int64), np.zeros(0)
+    @staticmethod
+    def lead(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best subject, its evidence and how far it leads the next (or no evidence)."""
+        every = np.arange(len(e))
         best = e.argmax(1)
-        top = e[np.arange(len(e)), best]
+        top = e[every, best]
         rest = e.copy()
-        rest[np.arange(len(e)), best] = -np.inf
-        lead = top - np.maximum(rest.max(1), 0)
-        sure = np.interp(lead, *self.curve)
-        return np.where((top > 0) & (lead >= self.cut), best, -1), sure
+        rest[every, best] = -np.inf
+        return best, top, top - np.maximum(rest.max(1, initial=-np.inf), 0)
 
-    def calibrate(self, docs: list[tuple[list[tuple[list[str], int]], set[int]]]) -> None:
-        """``docs``: passages and labels of held-out documents. Sets the curve from lead to precision."""
-        lead, right = [], []
-        for ps, labels in docs:
-            e = self.evidence([p for p, _ in ps])
-            if not len(e):
-                continue
-            best = e.argmax(1)
-            top = e[np.arange(len(e)), best]
-            e[np.arange(len(e)), best] = -np.inf
-            gap = top - np.maximum(e.max(1), 0)
-            some = top > 0
-            lead += gap[some].tolist()
-            right += [int(b) in labels for b in best[some]]
+    def assign(self, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """Subject of each passage (-1: none) and the calibrated chance that it is right."""
+        if not len(p.words):
+            return np.zeros(0, np.int64), np.zeros(0)
+        best, top, lead = self.lead(self.evidence(p))
+        return np.where((top > 0) & (lead >= self.cut), best, -1), np.interp(lead, *self.curve)
+
+    def calibrate(self, texts: list[str], labels: list[set[int]]) -> None:
+        """From held-out documents and their labels: the curve from lead to precision, and the least lead."""
+        p = Passages(texts)
+        if not len(p.words):
+            return
+        best, top, gap = self.lead(self.evidence(p))
+        some = np.flatnonzero(top > 0)
+        lead, right = gap[some], np.array([int(best[i]) in labels[p.text[i]] for i in some])
         if len(lead) < 50:
             return
         order = np.argsort(lead)
-        x, y = np.array(lead)[order], np.array(right, float)[order]
+        x, y = lead[order], right[order].astype(float)
         groups = np.array_split(np.arange(len(x)), 20)
         gx, gy = np.array([x[g].mean() for g in groups]), np.array([y[g].mean() for g in groups])
         self.curve = (gx, np.maximum.accumulate(gy))
@@ -168,19 +184,13 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, items, words, at = [], [], [], []
-            for i, t in enumerate(b.column(3).to_pylist()):
-                for ws, n in passages(t):
-                    at.append(i)
-                    items.append(ws)
-                    words.append(n)
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pick) for i in range(3)], pa.array(items, pa.list_(pa.string())), pa.array(words, pa.int64())], names=["d", "h", "ss", "items", "words"])
-
-    from ..session import cut
+            p = Passages(b.column(3))
+            pick = pa.array(p.text)
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pick) for i in range(3)], p.lists()], names=["d", "h", "ss", "items"])
 
-    parts = cut(texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "d").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>, words bigint"))
-    train = parts.where("size(ss) = 1 AND h % 5 <> 0").select("d", F.col("ss")[0].alias("s"), "items").distinct()
+    texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "d")
+    parts = cut(texts.where("size(ss) = 1 AND h % 5 <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
+    train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
     # telling items: frequent enough, in documents of one subject more often than half of the time
     per = train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs"))
     telling = per.groupBy("x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("docs").alias("docs")).where((F.col("docs") >= 3) & (F.col("all") >= MIN_PASSAGES))
@@ -213,12 +223,12 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
         if len(body) == 2 and c < max(confidence.get(((x,), s), 0.0) for x in body) + GAIN:
             continue
         p = min(0.5, share[s])
-        rules.setdefault(body, {})[subjects.index(s)] = float(np.log(c / (1 - c)) - np.log(p / (1 - p)))
+        odds = c / (1 - c) / (p / (1 - p))
+        if odds >= MIN_ODDS:
+            rules.setdefault(body, {})[subjects.index(s)] = float(np.log(odds))
     out = Rules(subjects, rules)
-    held: dict[int, tuple[list[tuple[list[str], int]], set[int]]] = {}
-    for r in parts.where("h % 5 = 0").select("d", "ss", "items", "words").toLocalIterator():
-        held.setdefault(r["d"], ([], {subjects.index(s) for s in r["ss"]}))[0].append((list(r["items"]), r["words"]))
-    out.calibrate(list(held.values()))
+    held = texts.where("h % 5 = 0").select("ss", "text").collect()  # a fifth of the bounded sample
+    out.calibrate([r["text"] for r in held], [{subjects.index(x) for x in r["ss"]} for r in held])
     return out
 
 
@@ -236,16 +246,9 @@ def shares(docs: DataFrame, rules: Rules, key: str = "doc_id", text: str = "text
         r = shared.value
         for whole in batches:
             for b in (whole.slice(a, 500) for a in range(0, len(whole), 500)):
-                owner, items, words = [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    for x, n in passages(t):
-                        owner.append(i)
-                        items.append(x)
-                        words.append(n)
-                if not owner:
-                    continue
-                s, sure = r.assign(items)
-                o, w = np.array(owner), np.array(words)
+                p = Passages(b.column(1))
+                s, sure = r.assign(p)
+                o, w = p.text, p.words
                 total = np.bincount(o, w, len(b))
                 some = s >= 0
                 cell = o[some] * len(r.subjects) + s[some]

@@ -72,8 +72,8 @@ def test_redundant_rules_are_pruned(corpus):
 
 def test_pairs_count_only_together():
     r = subjects.Rules(["a", "b"], {("x",): {0: 1.0}, ("y", "z"): {1: 3.0}})
-    e = r.evidence([["x"], ["y"], ["y", "z"], ["q"], ["x", "y", "z"]])
-    assert e.tolist() == [[1, 0], [0, 0], [0, 3], [0, 0], [1, 3]]
+    e = r.evidence(subjects.Passages(["x.\ny.\ny z.\nq.\nx y z. z y"]))
+    assert e.tolist() == [[1, 0], [0, 0], [0, 3], [0, 0], [1, 3], [0, 3]]
 
 
 def test_no_labels_give_no_rules(spark, corpus):
@@ -83,7 +83,7 @@ def test_no_labels_give_no_rules(spark, corpus):
 
 
 def test_passages():
-    got = subjects.passages("First one. Second one! 12\nline of four words\nanother line of five words\n\nEnd")
-    assert [n for _, n in got] == [2, 2, 1, 4, 5, 1]
-    assert [("#verse" in x) for x, _ in got] == [False, False, False, True, True, False]
-    assert subjects.passages(None) == subjects.passages("  \n ") == []
+    p = subjects.Passages(["First one. Second one! 12\r\nline of four words\nanother line of FIVE words\n\nA last line without stop", None, "", " \n ", "?!", "Añil; añil - 7 x"])
+    assert p.words.tolist() == [2, 2, 1, 4, 5, 5, 1, 3] and p.text.tolist() == [0] * 6 + [5] * 2
+    assert [subjects.VERSE in x for x in p.lists().to_pylist()] == [False, False, False, True, True, False, False, False]
+    assert [sorted(x) for x in p.lists().to_pylist()[-2:]] == [["anil"], ["anil", "x"]] and p.lists().to_pylist()[2] == []
