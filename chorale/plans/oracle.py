@@ -94,7 +94,7 @@ SELECT doc_id, CAST(i - 1 AS BIGINT) AS seg_no, t AS text, CAST(z - length(t) AS
         "run_summary": f"SELECT separator, output_name, {_SUMMARY} FROM {_RUNS} GROUP BY separator, output_name",
         "run_summary_empty": f"SELECT {_SUMMARY} FROM {_RUNS} WHERE separator = 'none'",
         "realtime_factor": _speed(f"SELECT separator, output_name, separation_time AS processing_s, duration_s FROM {_RUNS} r JOIN {_FILES} f ON f.path = '/corpus/' || r.isrc || '/audio.mp3' WHERE error IS NULL", "separator, output_name"),
-        "transcription_speed": _speed(f"SELECT model_name, whisper_implementation, transcription_time - coalesce(alignment_model_load_time, 0) AS processing_s, duration_s FROM {_RESULTS} r JOIN {_FILES} f ON f.path = r.path WHERE transcription_time > 0 AND transcription_time < 'infinity'::DOUBLE", "model_name, whisper_implementation"),
+        "transcription_speed": _speed(f"SELECT model_name, whisper_implementation, transcription_time - coalesce(alignment_model_load_time, 0) AS processing_s, duration_s FROM {_RESULTS} r JOIN {_FILES} f ON f.path = r.path WHERE transcription_time > 0 AND isfinite(transcription_time)", "model_name, whisper_implementation"),
         "alignment_share": f"SELECT result_id, round(alignment_model_load_time / nullif(transcription_time, 0) * 100, 4) AS percent, round(transcription_time - alignment_model_load_time, 4) AS rest_s FROM {_RESULTS} WHERE alignment_model_load_time IS NOT NULL",
         "language_share": f"SELECT language, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percent FROM (SELECT coalesce({_language('detected_language')}, '?') AS language FROM {_RESULTS} WHERE error IS NULL) GROUP BY language",
         "train_test_split": f"SELECT coalesce(split, 'none') AS split, CAST(sum(k) AS BIGINT) AS results, count(*) AS recordings FROM (SELECT isrc, count(*) AS k FROM {_RESULTS} GROUP BY isrc) LEFT JOIN (SELECT isrc, max(split) AS split FROM dataset_split GROUP BY isrc) USING (isrc) GROUP BY 1",
