@@ -96,9 +96,13 @@ GROUPS = ["model_name", "whisper_implementation", "audio_type"]
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of all timings per model, implementation and audio type."""
-    t = table(spark, sf_dir, "transcription_timings").select("timing_id", *GROUPS, "transcription_time").distinct()
-    return quantiles.percentiles(quantiles.frequencies(t, GROUPS, F.col("transcription_time")), PERMILLE)
+    """Exact percentiles of timings per model, implementation and audio type, of each day and of all days.
+
+    The days' frequency tables are combined into that of the whole period, whose ``day`` is NULL.
+    """
+    daily = quantiles.frequencies(_timings(spark, sf_dir), ["day", *GROUPS], F.col("transcription_time"))
+    whole = quantiles.combine(daily.drop("day")).withColumn("day", F.lit(None).cast("date"))
+    return quantiles.percentiles(daily.unionByName(whole), PERMILLE)
 
 
 def p6_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,17 +166,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def _percentile_sql(key: str, name: str) -> str:
+def _percentile_sql(key: str, name: str, day: str | None = None) -> str:
     ps = ", ".join(f"({p})" for p in PERMILLE)
+    groups = ["day"] * bool(day) + GROUPS
+    g = ", ".join(groups)
+    own = f", CAST({day} AS DATE) AS day" if day else ""
+    f = f"SELECT {g}, v FROM t WHERE v > 0 AND isfinite(v)"
+    if day:
+        f += f" UNION ALL SELECT NULL, {', '.join(GROUPS)}, v FROM t WHERE v > 0 AND isfinite(v)"
     return f"""
-WITH t AS (SELECT DISTINCT {key}, model_name, whisper_implementation, audio_type, transcription_time AS v FROM {name}),
-f AS (SELECT model_name, whisper_implementation, audio_type, v FROM t WHERE v > 0 AND v < 'infinity'::DOUBLE),
-r AS (SELECT *, row_number() OVER (PARTITION BY model_name, whisper_implementation, audio_type ORDER BY v) AS k,
-      count(*) OVER (PARTITION BY model_name, whisper_implementation, audio_type) AS n FROM f)
-SELECT model_name, whisper_implementation, audio_type, p.permille::INT AS permille, v AS value, n::BIGINT AS n
+WITH t AS (SELECT DISTINCT {key}{own}, model_name, whisper_implementation, audio_type, transcription_time AS v FROM {name}),
+f AS ({f}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY v) AS k, count(*) OVER (PARTITION BY {g}) AS n FROM f)
+SELECT {g}, p.permille::INT AS permille, v AS value, n::BIGINT AS n
 FROM r, (VALUES {ps}) p(permille) WHERE k = greatest(1, (n * p.permille + 999) // 1000)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_percentiles": _percentile_sql("timing_id", "transcription_timings"), "p6_result_percentiles": _percentile_sql("result_id", "transcription_results")}
+    return {"p6_percentiles": _percentile_sql("timing_id", "transcription_timings", "logged_at"), "p6_result_percentiles": _percentile_sql("result_id", "transcription_results")}
