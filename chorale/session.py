@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed Parquet table in the shared folder, and read from there.
+
+    For tables that are read more than once and needn't keep their partitions: smaller than a
+    checkpoint, and later readers take only the columns they need.
+    """
+    at = f"{shared_dir(df.sparkSession)}/chorale-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
