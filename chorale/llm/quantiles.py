@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import kept
 
 
 def rounded(value: Column, digits: int | None) -> Column:
@@ -61,8 +61,8 @@ def percentiles(freq: DataFrame, permille: Sequence[int]) -> DataFrame:
     keys = [f"g{i}" for i in range(len(groups))]
     src = freq.where("n > 0").select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], "value", "n")
     # kept once: bounds of a range partitioning come from a sample, and both readers must see the same
-    kept = cut(src.repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value").withColumn("part", F.spark_partition_id()))
-    sums = kept.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+    table = kept(src.repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value").withColumn("part", F.spark_partition_id()))
+    sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
     by_group = Window.partitionBy(*keys)
     offsets = sums.select(
         *keys, "part",
@@ -71,7 +71,7 @@ def percentiles(freq: DataFrame, permille: Sequence[int]) -> DataFrame:
     )
     # an offset stands before the values of its part of the group, so one running sum holds both
     first = offsets.select(*keys, "part", F.lit(None).cast("double").alias("value"), F.col("before").alias("n"), "total")
-    rows = kept.select(*keys, "part", "value", "n", F.lit(None).cast("bigint").alias("total")).unionByName(first)
+    rows = table.select(*keys, "part", "value", "n", F.lit(None).cast("bigint").alias("total")).unionByName(first)
     up = Window.partitionBy(*keys, "part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = rows.select(*keys, "value", "n", F.sum("n").over(up).alias("cum"), F.first("total").over(up).alias("total")).where("value IS NOT NULL")
     ranks = F.array(*[F.expr(f"struct({int(p)} AS p, greatest(1L, (total * {int(p)} + 999) div 1000) AS r)") for p in permille])
