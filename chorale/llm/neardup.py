@@ -22,7 +22,6 @@ columns. The pairs found come out, never the pairs compared.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, kept
 
 BITS = 512
 TABLE_BITS = 22
@@ -123,15 +122,8 @@ def distinct_sets(df: DataFrame, key: str, text: str, k: int, least_words: int)
     return src.mapInArrow(run, "id bigint, sig binary, n bigint, text string")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    at = f"{shared_dir(df.sparkSession)}/chorale-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def frequency_table(reps: DataFrame, k: int, least_words: int, table_bits: int) -> np.ndarray:
-    """Upper bounds (to 65,535) of how many sets hold an element, by the element's hash."""
+    """Upper bounds of how many sets hold an element, by the element's hash: one INT per cell of a fixed table."""
     size, mask = 1 << table_bits, np.uint64((1 << table_bits) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +135,8 @@ def frequency_table(reps: DataFrame, k: int, least_words: int, table_bits: int)
         for part in np.array_split(at, max(1, len(at) // 100_000)):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["h", "c"])
 
-    sums = reps.select("text").mapInArrow(count, "h int, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h", F.least("c", F.lit(65535)).cast("int").alias("c"))
-    table = np.ones(size, np.uint16)
+    sums = reps.select("text").mapInArrow(count, "h int, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c"))
+    table = np.ones(size, np.int32)
     got = sums.toArrow()  # at most one row per cell of the table
     table[got.column("h").to_numpy()] = got.column("c").to_numpy()
     return table
@@ -321,7 +313,7 @@ class Similar:
 
     def __init__(self, df: DataFrame, key: str = "result_id", text: str = "full_text", k: int = 3, num: int = 3, den: int = 5, least_words: int = 20, hot: int = HOT, table_bits: int = TABLE_BITS, bucket: int = BUCKET):
         sets = distinct_sets(df, key, text, k, least_words)
-        self.reps = _kept(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("text").alias("text")))
+        self.reps = kept(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("text").alias("text")))
         ids = sets.select("id", "sig")
         self.members = ids.join(self.reps.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep").distinct()
         rows = self.reps.count()
