@@ -177,10 +177,9 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     subjects = [r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(1000).collect()]
     named = labels.select(F.col("doc_id").alias("d"), F.col("subject").alias("s")).where(F.col("s").isin(*subjects)).distinct()
     per_doc = named.groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("ss")).withColumn("h", F.pmod(F.xxhash64("d"), F.lit(1 << 20)))
-    total = per_doc.count()
-    if total > train_docs:  # a bounded sample, by a hash of the id
-        per_doc = per_doc.where(F.col("h") < int((1 << 20) * train_docs / total))
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(per_doc, "d").select("d", "h", "ss", "text")
+    # a bounded sample, by a hash of the id, so it may be broadcast: no document is shuffled for it
+    sample = F.broadcast(per_doc.orderBy("h", "d").limit(train_docs).withColumn("h", F.pmod("h", F.lit(5))))
+    texts = docs.select(F.col("doc_id").alias("d"), "text").join(sample, "d").select("d", "h", "ss", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,7 +188,7 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
             yield pa.RecordBatch.from_arrays([*[b.column(i).take(pick) for i in range(3)], p.lists()], names=["d", "h", "ss", "items"])
 
     texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "d")
-    parts = cut(texts.where("size(ss) = 1 AND h % 5 <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
+    parts = cut(texts.where("size(ss) = 1 AND h <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
     train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
     # telling items: frequent enough, in documents of one subject more often than half of the time
     per = train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs"))
@@ -227,7 +226,7 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
         if odds >= MIN_ODDS:
             rules.setdefault(body, {})[subjects.index(s)] = float(np.log(odds))
     out = Rules(subjects, rules)
-    held = texts.where("h % 5 = 0").select("ss", "text").collect()  # a fifth of the bounded sample
+    held = texts.where("h = 0").select("ss", "text").collect()  # a fifth of the bounded sample
     out.calibrate([r["text"] for r in held], [{subjects.index(x) for x in r["ss"]} for r in held])
     return out
 
