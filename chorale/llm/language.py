@@ -213,29 +213,32 @@ def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Co
         m = shared.value
         for whole in batches:
             for b in (whole.slice(a, 400) for a in range(0, len(whole), 400)):
-                snippets: list[str] = []
-                owner, number, weight = [], [], []
+                known: dict[str, int] = {}  # every distinct snippet is scored once
+                which, owner, number, vote = [], [], [], []
                 for i, (t, segs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     ws = words(t)
                     if len(ws) < text_words:
                         continue
-                    parts = chunks(ws)
-                    for c in [c for c in parts if not sung(c)] or parts:
-                        snippets.append(" ".join(c))
+                    own = [words(x) for x in segs or []]
+                    # where the segments are the text, they are its runs of words as well
+                    same = own and max(map(len, own)) <= 2 * CHUNK and [w for c in own for w in c] == ws
+                    runs = [c for c in own if c] if same else chunks(ws)
+                    voting = [c for c in runs if not sung(c)]
+                    for c in voting or runs:
+                        which.append(known.setdefault(" ".join(c), len(known)))
                         owner.append(i)
                         number.append(-1)
-                        weight.append(len(c))
-                    for j, x in enumerate(segs or []):
-                        c = words(x)
+                        vote.append(len(c))
+                    for j, c in enumerate(own):
                         if len(c) >= segment_words and not sung(c):
-                            snippets.append(" ".join(c))
+                            which.append(known.setdefault(" ".join(c), len(known)))
                             owner.append(i)
                             number.append(j)
-                            weight.append(len(c))
-                if not snippets:
+                            vote.append(0)
+                if not which:
                     continue
-                p = m.probabilities(snippets)
-                o, no, w = np.array(owner), np.array(number), np.array(weight, float)
+                p = m.probabilities(list(known))[which]
+                o, no, w = np.array(owner), np.array(number), np.array(vote, float)
                 best = p.argmax(1)
                 text_part = no < 0
                 votes = np.zeros((len(b), len(m.codes)))
