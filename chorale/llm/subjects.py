@@ -21,15 +21,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import canonical_language
 from ..session import cut
 from .words import folded
 
 TRAIN_DOCS = 5_000
 MIN_PASSAGES = 6  # least passages (and documents, for words) behind a rule
 MIN_CONFIDENCE = 0.5
+MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must lead all others and none
+UNSEEN_DOCS = 3.0  # documents without the subject that are added to those behind a rule
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
 MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
@@ -85,7 +88,7 @@ class Passages:
 class Rules:
     """Rules as sorted arrays: item -> evidence, pair of items -> evidence, and the calibration."""
 
-    def __init__(self, subjects: list[str], rules: dict[tuple[str, ...], dict[int, float]], cut: float = 1.0):
+    def __init__(self, subjects: list[str], rules: dict[tuple[str, ...], dict[int, float]], cut: float = MIN_LEAD):
         self.subjects, self.cut = subjects, cut
         items = sorted({x for k in rules for x in k})
         self.index = {x: i for i, x in enumerate(items)}
@@ -149,7 +152,7 @@ class Rules:
         return np.where((top > 0) & (lead >= self.cut), best, -1), np.interp(lead, *self.curve)
 
     def calibrate(self, texts: list[str], labels: list[set[int]]) -> None:
-        """From held-out documents and their labels: the curve from lead to precision, and the least lead."""
+        """From held-out documents and their labels: the curve from lead to precision."""
         p = Passages(texts)
         if not len(p.words):
             return
@@ -163,9 +166,6 @@ class Rules:
         groups = np.array_split(np.arange(len(x)), 20)
         gx, gy = np.array([x[g].mean() for g in groups]), np.array([y[g].mean() for g in groups])
         self.curve = (gx, np.maximum.accumulate(gy))
-        # the lead from which passages are right more often than halfway up to the best that labels allow
-        good = np.flatnonzero(self.curve[1] >= 0.5 * (self.curve[1][-1] + 1 / len(self.subjects)))
-        self.cut = float(min(self.cut, gx[good[0]])) if len(good) else self.cut
 
 
 def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int = TRAIN_DOCS) -> Rules:
@@ -177,9 +177,12 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     subjects = [r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(1000).collect()]
     named = labels.select(F.col("doc_id").alias("d"), F.col("subject").alias("s")).where(F.col("s").isin(*subjects)).distinct()
     per_doc = named.groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("ss")).withColumn("h", F.pmod(F.xxhash64("d"), F.lit(1 << 20)))
-    # a bounded sample, by a hash of the id, so it may be broadcast: no document is shuffled for it
-    sample = F.broadcast(per_doc.orderBy("h", "d").limit(train_docs).withColumn("h", F.pmod("h", F.lit(5))))
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(sample, "d").select("d", "h", "ss", "text")
+    # A bounded sample, so it may be broadcast and no text is shuffled for it. Each language and subject
+    # gives its documents by a hash of their ids, one after another, so that rare languages are in it.
+    lang = docs.select(F.col("doc_id").alias("d"), F.coalesce(canonical_language(F.col("lang")), F.lit("?")).alias("l"))
+    turn = Window.partitionBy("l", F.col("ss")[0]).orderBy("h", "d")
+    sample = per_doc.join(lang, "d").withColumn("r", F.row_number().over(turn)).orderBy("r", "h", "d").limit(train_docs)
+    texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(sample.select("d", F.pmod("h", F.lit(5)).alias("h"), "ss")), "d").select("d", "h", "ss", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,7 +194,7 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     parts = cut(texts.where("size(ss) = 1 AND h <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
     train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
     # telling items: frequent enough, in documents of one subject more often than half of the time
-    per = train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs"))
+    per = cut(train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs")))
     telling = per.groupBy("x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("docs").alias("docs")).where((F.col("docs") >= 3) & (F.col("all") >= MIN_PASSAGES))
     telling = telling.select("x", (F.col("most") / F.col("all")).alias("c")).where("c >= 0.3")
     best = train.withColumn("p", F.monotonically_increasing_id()).select("p", "s", F.explode("items").alias("x")).join(telling, "x")
@@ -212,14 +215,21 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
             count[body] = r["freq"]
         elif len(names) == 1 and 1 <= len(body) <= 2:
             with_label.append((body, names[0][1:], r["freq"]))
+    # passages of one document resemble each other, so the confidence of a word is also taken over documents
+    by_word: dict[str, dict[str, int]] = {}
+    for r in per.join(telling.select("x"), "x").select("x", "s", "docs").collect():
+        by_word.setdefault(r["x"], {})[r["s"]] = r["docs"]
     confidence: dict[tuple[tuple[str, ...], str], float] = {}
-    for body, s, f in with_label:
-        confidence[body, s] = f / (count[body] + 2.0)  # two unseen passages against the rule
+    over_passages = {(body, s): f / (count[body] + 2.0) for body, s, f in with_label}  # two unseen passages against the rule
+    for (body, s), c in over_passages.items():
+        if len(body) == 1:
+            c = min(c, by_word[body[0]].get(s, 0) / (sum(by_word[body[0]].values()) + UNSEEN_DOCS))
+        confidence[body, s] = c
     rules: dict[tuple[str, ...], dict[int, float]] = {}
     for (body, s), c in confidence.items():
         if c < MIN_CONFIDENCE or s not in share:
             continue
-        if len(body) == 2 and c < max(confidence.get(((x,), s), 0.0) for x in body) + GAIN:
+        if len(body) == 2 and c < max(over_passages.get(((x,), s), 0.0) for x in body) + GAIN:
             continue
         p = min(0.5, share[s])
         odds = c / (1 - c) / (p / (1 - p))
