@@ -1,0 +1,139 @@
+"""Command line: ``python -m chorale.cli separate|transcribe``.
+
+``separate`` writes the vocals of every recording beside its original; ``transcribe`` stores a record
+of every file (or shows that of one file). Failures never end a run; a model that can't be loaded does.
+"""
+
+from __future__ import annotations
+
+import argparse
+import time
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from . import backends
+from .functions import timing
+from .operators import infer, results, segments
+from .schema import AUDIO_TYPES, IMPLEMENTATIONS
+from .session import get_spark, reachable
+from .sources import audio, host, sinks
+
+SEPARATORS = {"spleeter": ("spleeter:2stems", "spleeter.wav"), "demucs": ("htdemucs", "demucs.wav")}
+ORIGINAL = "audio"
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="chorale", description=__doc__)
+    sub = p.add_subparsers(dest="command", required=True)
+    s = sub.add_parser("separate", help="isolate the vocals of a corpus")
+    s.add_argument("--directory", required=True, help="corpus root with one folder a recording")
+    s.add_argument("--backend", default="spleeter", choices=[*SEPARATORS, "stub-separator"])
+    s.add_argument("--model", help="model name; the backend's default without it")
+    s.add_argument("--output", help="file name of the vocals; names that are no audio version are labelled 'regular' later")
+    s.add_argument("--rate", type=int, help="sample rate to decode at")
+    t = sub.add_parser("transcribe", help="transcribe a corpus or one file")
+    t.add_argument("--model", required=True)
+    where = t.add_mutually_exclusive_group(required=True)
+    where.add_argument("--directory", help="corpus root with one folder a recording")
+    where.add_argument("--file", help="one audio file; shown, not stored")
+    t.add_argument("--backend", required=True, choices=[*IMPLEMENTATIONS, "stub"])
+    t.add_argument("--beam-size", type=int, default=None, help="default 5")
+    t.add_argument("--vad", action="store_true", help="filter silence before transcribing")
+    t.add_argument("--batch-size", type=int, default=None, help="chunks of a file per model call, default 16")
+    t.add_argument("--results", help="table to append to; <directory>/../transcription_results without it")
+    t.add_argument("--jsonl", help="folder for an export of all stored records as JSON lines")
+    t.add_argument("--strict", action="store_true", help="skip files whose name is no audio version")
+    return p
+
+
+def report(row: Row, spark: SparkSession) -> list[str]:
+    """Console lines of one record."""
+    if row.error:
+        return [f"Failed: {row.path}: {row.error}"]
+    one = spark.createDataFrame([row.asDict()], infer.RESULT)
+    a, t = F.col("alignment_model_load_time"), F.col("transcription_time")
+    m = one.select(timing.two_decimals(t), timing.two_decimals(a), timing.two_decimals(timing.alignment_share(a, t)), timing.two_decimals(timing.without_alignment(a, t))).first()
+    rule = "=" * 80
+    out = [f"Completed in {m[0]} s"]
+    if row.alignment_model_load_time is not None:
+        out.append(f"Alignment model: {m[1]} s ({m[2]} %); without it: {m[3]} s")
+    out += [rule, f"Model: {row.model_name}", f"Implementation: {row.whisper_implementation}", f"Language: {row.detected_language}", f"Audio type: {row.audio_type}", rule, row.full_text, "-" * 80]
+    return out + [r.line for r in segments.report_lines(one, "path").orderBy("seg_no").collect()]
+
+
+def summary(runs: DataFrame, elapsed: float) -> list[str]:
+    s = runs.agg(F.count_if(F.col("error").isNull()).alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("separation_time").alias("t"), F.avg("separation_time").alias("m")).first()
+    mean = "none" if s.m is None else f"{s.m:.2f} s"
+    return [f"{s.n} files in {elapsed:.2f} s, {s.failed} failed", f"Separation: {s.t or 0:.2f} s in all, {mean} a file"]
+
+
+def separate(args: argparse.Namespace, spark: SparkSession) -> DataFrame:
+    model, output = SEPARATORS.get(args.backend, ("stub", "spleeter_11.wav"))
+    output = args.output or output
+    if Path(output).stem not in AUDIO_TYPES:
+        print(f"Note: {output} names no audio version; such files are labelled 'regular'")
+    print(f"CPU: {host.cpu_model()}; GPU: {', '.join(host.gpu_names()) or 'none'}")
+    began = time.perf_counter()
+    files = audio.audio_files(spark, args.directory).where(F.element_at(F.split("path", "/"), -1).rlike(rf"^{ORIGINAL}\.(wav|mp3)$"))
+    if files.isEmpty():
+        print("No recordings found")
+    runs = infer.separate(files, args.backend, args.model or model, output, args.rate, spark.sparkContext.defaultParallelism)
+    kept = spark.createDataFrame(runs.collect(), runs.schema)  # one short row a file; the sound stays with the workers
+    for r in kept.where("error IS NOT NULL").collect():
+        print(f"Failed: {r.path}: {r.error}")
+    print("\n".join(summary(kept, time.perf_counter() - began)))
+    return kept
+
+
+def transcribe(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
+    given = {k for k, v in (("beam_size", args.beam_size), ("vad", args.vad or None), ("batch_size", args.batch_size)) if v is not None}
+    options = backends.Options(args.beam_size or 5, args.vad, args.batch_size or 16)
+    options.chosen(backends.create(args.backend).options, given)  # warns of options without effect
+    if args.file:
+        one = audio.single_file(spark, args.file)
+        if one.isEmpty():
+            print(f"Not found: {args.file}")
+            return None
+        out = infer.transcribe(one, args.backend, args.model, options, content=_content(args.backend, one))
+        print("\n".join(report(out.first(), spark)))
+        return out
+    folder = audio.folders(spark, args.directory)
+    files = audio.audio_files(spark, args.directory, strict=args.strict, content=args.backend == "stub")
+    if folder.isEmpty():
+        print("No recordings found")
+        return None
+    for r in audio.folders_without_audio(folder, files).collect():
+        print(f"No audio in {r.isrc}")
+    if args.strict:
+        files = files.where("audio_type <> 'unknown'")
+    table = args.results or str(Path(args.directory).resolve().parent / "transcription_results")
+    done = sinks.stored(infer.transcribe(files.limit(0), args.backend, args.model, options), table).where((F.col("model_name") == args.model) & (F.col("whisper_implementation") == args.backend) & F.col("error").isNull())
+    todo = results.unfinished(files, done, ["path"])
+    out = infer.transcribe(todo, args.backend, args.model, options, content=_content(args.backend, todo), tasks=spark.sparkContext.defaultParallelism)
+    # a failed file may be tried again, so failures are told and not stored as finished work
+    written = infer.successes(out)
+    sinks.append_once(written, table)
+    stored = spark.read.parquet(table)
+    print(f"{stored.where((F.col('model_name') == args.model) & (F.col('whisper_implementation') == args.backend)).count()} records of {args.model} by {args.backend} in {table}")
+    for r in results.unfinished(files, stored.where((F.col("model_name") == args.model) & (F.col("whisper_implementation") == args.backend)), ["path"]).select("path").collect():
+        print(f"Failed: {r.path}")
+    if args.jsonl:
+        sinks.export_jsonl(stored, args.jsonl)
+    return stored
+
+
+def _content(backend: str, files: DataFrame):
+    return F.col("content") if backend == "stub" and "content" in files.columns else None
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | None:
+    args = parser().parse_args(argv)
+    spark = spark or get_spark()
+    reachable(spark)
+    return separate(args, spark) if args.command == "separate" else transcribe(args, spark)
+
+
+if __name__ == "__main__":
+    main()
