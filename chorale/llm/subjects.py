@@ -179,7 +179,8 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     per_doc = named.groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("ss")).withColumn("h", F.pmod(F.xxhash64("d"), F.lit(1 << 20)))
     # A bounded sample, so it may be broadcast and no text is shuffled for it. Each language and subject
     # gives its documents by a hash of their ids, one after another, so that rare languages are in it.
-    lang = docs.select(F.col("doc_id").alias("d"), F.coalesce(canonical_language(F.col("lang")), F.lit("?")).alias("l"))
+    label = canonical_language(F.col("lang")) if "lang" in docs.columns else F.lit(None).cast("string")
+    lang = docs.select(F.col("doc_id").alias("d"), F.coalesce(label, F.lit("?")).alias("l"))
     turn = Window.partitionBy("l", F.col("ss")[0]).orderBy("h", "d")
     sample = per_doc.join(lang, "d").withColumn("r", F.row_number().over(turn)).orderBy("r", "h", "d").limit(train_docs)
     texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(sample.select("d", F.pmod("h", F.lit(5)).alias("h"), "ss")), "d").select("d", "h", "ss", "text")
