@@ -44,6 +44,10 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str],
     return len([p for p in query.recentProgress if p["numInputRows"]])
 
 
-def daily_counts(stream: DataFrame, time: str, late: str, *keys: str) -> DataFrame:
-    """Rows per day and key, each row once: repeats within the allowed lateness are dropped."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("day"), *keys).agg(F.count("*").alias("n"))
+def daily_counts(stream: DataFrame, key: str, time: str, late: str, *groups: str) -> DataFrame:
+    """Rows per day and group of a stream, each key once: repeats within the allowed lateness are dropped.
+
+    State is kept for as long as the watermark allows and no longer; a day is given out when it can't change.
+    """
+    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return once.groupBy(F.window(time, "1 day").alias("day"), *groups).agg(F.count("*").alias("n"))

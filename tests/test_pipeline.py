@@ -160,3 +160,17 @@ def test_stream_sees_each_file_once(spark, tree, tmp_path):
     wav(tree / "US9/audio.wav")
     run()
     assert spark.read.parquet(str(tmp_path / "t")).count() == n + 1
+
+
+def test_daily_counts_drop_repeats_and_close_days(spark, tmp_path):
+    rows = [(1, "2025-01-01 01:00:00", "a"), (1, "2025-01-01 01:00:00", "a"), (2, "2025-01-01 02:00:00", "a"), (3, "2025-01-02 01:00:00", "b"), (4, "2025-01-09 01:00:00", "a")]
+    df = spark.createDataFrame(rows, "id long, t string, g string").withColumn("t", F.to_timestamp("t"))
+    df.where("id < 4").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.new_rows(spark, str(tmp_path / "in"), df.schema)
+    q = ingest.daily_counts(stream, "id", "t", "2 days", "g").writeStream.format("memory").queryName("daily").outputMode("append").start()
+    q.processAllAvailable()
+    assert spark.table("daily").count() == 0
+    df.where("id = 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert {(str(r.day.start.date()), r.g, r.n) for r in spark.table("daily").collect()} == {("2025-01-01", "a", 2), ("2025-01-02", "b", 1)}
