@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 
+NAMES = ("value", "n")
+
 
 def rounded(value: Column, digits: int | None) -> Column:
     """``value`` to so many significant digits; positive finite values only."""
@@ -31,35 +33,36 @@ def rounded(value: Column, digits: int | None) -> Column:
     return F.round(value / step, 0) * step
 
 
-def frequencies(df: DataFrame, groups: Sequence[str], value: Column, digits: int | None = None) -> DataFrame:
-    """Counts per group and value: columns ``groups``, ``value``, ``n``.
+def frequencies(df: DataFrame, groups: Sequence[str], value: Column, digits: int | None = None, names: tuple[str, str] = NAMES) -> DataFrame:
+    """Counts per group and value: columns ``groups``, then ``names``. Other columns are ignored.
 
     NULL, NaN, infinite, zero and negative values are no measurements and left out; a NULL group
     column is a group of its own.
     """
-    v = value.cast("double")
-    src = df.select(*[F.col(f"`{g}`") for g in groups], v.alias("value__")).where((F.col("value__") > 0) & (F.col("value__") < float("inf")))
-    return src.withColumn("value__", rounded(F.col("value__"), digits)).groupBy(*groups, "value__").agg(F.count("*").alias("n__")).select(*groups, F.col("value__").alias("value"), F.col("n__").alias("n"))
+    keys = [f"g{i}" for i in range(len(groups))]
+    src = df.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], value.cast("double").alias("v")).where((F.col("v") > 0) & (F.col("v") < float("inf")))
+    counts = src.withColumn("v", rounded(F.col("v"), digits)).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    return counts.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("v").alias(names[0]), F.col("n").alias(names[1]))
 
 
-def combine(*tables: DataFrame) -> DataFrame:
+def combine(*tables: DataFrame, names: tuple[str, str] = NAMES) -> DataFrame:
     """The frequency table of all rows behind the given tables."""
+    value, n = names
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    groups = [c for c in out.columns if c not in ("value", "n")]
-    return out.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
+    return out.groupBy(*[c for c in out.columns if c != n]).agg(F.sum(n).alias(n))
 
 
-def percentiles(freq: DataFrame, permille: Sequence[int]) -> DataFrame:
-    """Nearest-rank percentiles of a frequency table: columns ``groups``, ``permille``, ``value``, ``n``.
+def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str] = NAMES) -> DataFrame:
+    """Nearest-rank percentiles of a frequency table: columns ``groups``, ``permille``, then ``names``.
 
     The p-permille value is the smallest value whose running count reaches ``ceil(p * n / 1000)``
-    (at least 1). ``n`` is the count of the group. Groups without counts give no row.
+    (at least 1). The last column is the count of the group. Groups without counts give no row.
     """
-    groups = [c for c in freq.columns if c not in ("value", "n")]
+    groups = [c for c in freq.columns if c not in names]
     keys = [f"g{i}" for i in range(len(groups))]
-    src = freq.where("n > 0").select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], "value", "n")
+    src = freq.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], F.col(f"`{names[0]}`").alias("value"), F.col(f"`{names[1]}`").alias("n")).where("n > 0")
     # kept once: bounds of a range partitioning come from a sample, and both readers must see the same
     table = kept(src.repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value").withColumn("part", F.spark_partition_id()))
     sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
@@ -76,4 +79,4 @@ def percentiles(freq: DataFrame, permille: Sequence[int]) -> DataFrame:
     full = rows.select(*keys, "value", "n", F.sum("n").over(up).alias("cum"), F.first("total").over(up).alias("total")).where("value IS NOT NULL")
     ranks = F.array(*[F.expr(f"struct({int(p)} AS p, greatest(1L, (total * {int(p)} + 999) div 1000) AS r)") for p in permille])
     hits = full.select(*keys, "value", "total", F.inline(F.filter(ranks, lambda x: (x["r"] <= F.col("cum")) & (x["r"] > F.col("cum") - F.col("n")))))
-    return hits.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("p").alias("permille"), "value", F.col("total").alias("n"))
+    return hits.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("p").alias("permille"), F.col("value").alias(names[0]), F.col("total").alias(names[1]))

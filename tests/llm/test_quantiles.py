@@ -25,9 +25,10 @@ def rows():
 
 
 def test_exact_percentiles(spark, rows):
-    df = spark.createDataFrame(rows, "g string, value int, v double").repartition(5)
-    f = quantiles.frequencies(df.withColumnRenamed("value", "k"), ["g", "k"], F.col("v"))
-    assert {tuple(r) for r in quantiles.percentiles(f, PS).collect()} == brute(rows)
+    df = spark.createDataFrame(rows, "v string, value int, n double").withColumn("part", F.lit("x")).repartition(5)
+    names = ("x", "count")
+    f = quantiles.frequencies(df, ["v", "value"], F.col("n"), names=names)  # names that the operator uses inside
+    assert {tuple(r) for r in quantiles.percentiles(f, PS, names).collect()} == brute(rows)
 
 
 def test_daily_tables_combine(spark, rows):
