@@ -32,8 +32,8 @@ CHUNK = 10
 RIDGE = 0.3
 #: Words of a text below which no language is assigned, and of a segment.
 TEXT_WORDS, SEGMENT_WORDS = 20, 4
-#: How much more probable than the text's language another one must be for a segment to count.
-SEGMENT_ODDS = 20.0
+#: How far a segment's score for another language must lie above that for the text's (targets are 1 and -1).
+SEGMENT_GAP = 0.35
 _WORD = re.compile(r"[^\W_]+")
 _SYLLABLE = re.compile(r"(?:(?:d[aou]+|l[aiou]+|n[ao]+|b[ao]+|p[aou]+|t[ua]+|r[ao]+|sh?a|sh[ou]+|wh?[oa]+|y[eao]+|h[aeou]+|[aeou]+|m+)[hy]*|hm+|yeah+|woo+h?|ラ|ナ|ララ|ナナ|ла|на|о+|а+х*|эй)+")
 
@@ -77,6 +77,11 @@ def _product(row: np.ndarray, feature: np.ndarray, table: np.ndarray, rows: int)
     return out
 
 
+def softmax(s: np.ndarray) -> np.ndarray:
+    p = np.exp(s - s.max(1, initial=-np.inf)[:, None])
+    return p / p.sum(1, keepdims=True)
+
+
 class Machine:
     """Gram weights per language, a bias and the scale that makes scores log-odds."""
 
@@ -97,9 +102,7 @@ class Machine:
         return np.concatenate(parts)
 
     def probabilities(self, snippets: Sequence[str]) -> np.ndarray:
-        s = self.scores(snippets)
-        p = np.exp(s - s.max(1, keepdims=True)) if len(s) else s
-        return p / p.sum(1, keepdims=True) if len(s) else p
+        return softmax(self.scores(snippets))
 
 
 def _features(snippets: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +168,7 @@ def fit(snippets: list[str], labels: list[str], landmarks: int = LANDMARKS, ridg
             break
         keep = now
     losses = []  # the scale that makes probabilities honest, on the halves kept out
-    for scale in range(2, 81, 2):
+    for scale in range(2, 21):  # no surer than that: unseen texts are less alike than the halves
         z = held[keep] * scale
         z = z - z.max(1, keepdims=True)
         losses.append((-(z[np.arange(len(z)), y[keep]] - np.log(np.exp(z).sum(1))).mean(), scale))
@@ -196,10 +199,10 @@ def train(df: DataFrame, key: str = "result_id", text: str = "full_text", label:
 def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Column | None = None, text_words: int = TEXT_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Languages of texts and of segments in another language: key, seg_no, lang, confidence.
 
-    ``seg_no`` -1 is the text: the language of most of its words, judged in runs of about ten words;
-    the confidence is the mean probability of that language over the words. Other rows are the
-    segments (ARRAY<STRING>, numbered from 0) whose own language is ``SEGMENT_ODDS`` times as probable
-    as the text's.
+    ``seg_no`` -1 is the text: the language of most of its words, judged in runs of about ten words
+    that vote with their probabilities; the confidence is the language's share of the votes. Other rows
+    are the segments (ARRAY<STRING>, numbered from 0) whose own language leads the text's by
+    ``SEGMENT_GAP``; their confidence is its probability.
 
     Defined cases: texts of fewer than ``text_words`` words (NULL and empty ones too) give no row, nor do
     their segments; sung syllables don't vote unless there is nothing else; NULL segments and such of
@@ -237,22 +240,22 @@ def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Co
                             vote.append(0)
                 if not which:
                     continue
-                p = m.probabilities(list(known))[which]
+                score = m.scores(list(known))[which]
+                p = softmax(score)
                 o, no, w = np.array(owner), np.array(number), np.array(vote, float)
                 best = p.argmax(1)
                 text_part = no < 0
                 votes = np.zeros((len(b), len(m.codes)))
-                np.add.at(votes, (o[text_part], best[text_part]), w[text_part])
-                sure = np.zeros((len(b), len(m.codes)))
-                np.add.at(sure, o[text_part], p[text_part] * w[text_part][:, None])
+                np.add.at(votes, o[text_part], p[text_part] * w[text_part][:, None])
                 total = np.bincount(o[text_part], w[text_part], len(b))
-                main = (votes + sure * 1e-3).argmax(1)  # ties of votes go to the more probable one
+                main = votes.argmax(1)
                 has = np.flatnonzero(total > 0)
                 # a short segment speaks for another language only against the song's own
-                other = ~text_part & (best != main[o]) & (p[np.arange(len(p)), best] >= SEGMENT_ODDS * p[np.arange(len(p)), main[o]])
+                every = np.arange(len(p))
+                other = ~text_part & (best != main[o]) & (score[every, best] - score[every, main[o]] >= SEGMENT_GAP * m.scale)
                 rows = np.append(has, o[other])
                 lang = np.append(main[has], best[other])
-                conf = np.append(sure[has, main[has]] / total[has], p[np.flatnonzero(other), best[other]])
+                conf = np.append(votes[has, main[has]] / total[has], p[np.flatnonzero(other), best[other]])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(rows)), pa.array(np.append(np.full(len(has), -1), no[other]), pa.int64()), pa.array([m.codes[x] for x in lang], pa.string()), pa.array(conf, pa.float64())],
                     names=["k", "seg_no", "lang", "confidence"],
