@@ -183,5 +183,45 @@ FROM r, (VALUES {ps}) p(permille) WHERE k = greatest(1, (n * p.permille + 999) /
 """
 
 
+_PAIRS = r"""
+WITH t AS (SELECT DISTINCT result_id, regexp_extract_all(lower(full_text), '[\p{L}\p{N}]+') AS w FROM transcription_results WHERE full_text IS NOT NULL),
+k AS (SELECT result_id, w FROM t WHERE len(w) >= 20),
+s AS (SELECT DISTINCT result_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT result_id, w, unnest(range(1, len(w) - 1)) AS i FROM k)),
+n AS (SELECT result_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.result_id AS x, b.result_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.result_id < b.result_id GROUP BY 1, 2)
+SELECT x AS result_id_a, y AS result_id_b FROM c JOIN n p ON p.result_id = x JOIN n q ON q.result_id = y WHERE 5 * m >= 3 * (p.n + q.n - m)
+"""
+
+_PIECES = """
+WITH RECURSIVE x AS (SELECT DISTINCT ON (result_id) result_id, segments FROM transcription_results WHERE segments IS NOT NULL),
+u AS (SELECT result_id, unnest(segments) AS g FROM x),
+v AS (SELECT result_id, CAST(round(g."start" * 100) AS BIGINT) AS s, CAST(round(g."end" * 100) AS BIGINT) AS e FROM u WHERE g."start" IS NOT NULL AND g."end" IS NOT NULL),
+l AS (SELECT result_id, list(s ORDER BY s, e) AS ss, list(e ORDER BY s, e) AS ee FROM v WHERE e > s GROUP BY result_id),
+f AS (SELECT * FROM l WHERE list_max(ee) - ss[1] > 6000),
+p AS (
+  SELECT result_id, ss, ee, 1::BIGINT AS piece_no, 1::BIGINT AS i, 1 + len([k FOR k IN range(2, len(ss) + 1) IF list_max(ee[1:k]) - ss[1] <= 6000]) AS j FROM f
+  UNION ALL
+  SELECT result_id, ss, ee, piece_no + 1, b, b + len([k FOR k IN range(b + 1, len(ss) + 1) IF list_max(ee[b:k]) - ss[b] <= 6000])
+  FROM (SELECT *, CASE WHEN j > i AND greatest(ee[j], ee[j + 1]) - ss[j] <= 6000 THEN j ELSE j + 1 END AS b FROM p WHERE j < len(ss))
+)
+SELECT result_id, piece_no, ss[i] AS start_cs, list_max(ee[i:j]) AS end_cs FROM p
+"""
+
+_COMBINED = f"""
+WITH t AS (SELECT DISTINCT timing_id, CAST(logged_at AS DATE) AS day, model_name, whisper_implementation, audio_type, transcription_time AS v FROM transcription_timings),
+f AS (SELECT *, pow(10.0, floor(log10(v)) - 2) AS step FROM t WHERE v > 0 AND isfinite(v)),
+d AS (SELECT model_name, whisper_implementation, audio_type, round(v / step) * step AS v FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY model_name, whisper_implementation, audio_type ORDER BY v) AS k, count(*) OVER (PARTITION BY model_name, whisper_implementation, audio_type) AS n FROM d)
+SELECT model_name, whisper_implementation, audio_type, p.permille::INT AS permille, v AS value, n::BIGINT AS n
+FROM r, (VALUES {", ".join(f"({p})" for p in PERMILLE)}) p(permille) WHERE k = greatest(1, (n * p.permille + 999) // 1000)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_percentiles": _percentile_sql("timing_id", "transcription_timings", "logged_at"), "p6_result_percentiles": _percentile_sql("result_id", "transcription_results")}
+    return {
+        "p4_found": _PAIRS,
+        "p5_found": _PIECES,
+        "p6_percentiles": _percentile_sql("timing_id", "transcription_timings", "logged_at"),
+        "p6_combined_days": _COMBINED,
+        "p6_result_percentiles": _percentile_sql("result_id", "transcription_results"),
+    }
