@@ -29,10 +29,12 @@ from ..session import cut
 from .words import folded
 
 TRAIN_DOCS = 5_000
-MIN_PASSAGES = 6  # least passages (and documents, for words) behind a rule
-MIN_CONFIDENCE = 0.5
+#: Least share of the training passages behind a rule, and least number of passages and of documents.
+MIN_SUPPORT, MIN_PASSAGES, MIN_DOCS = 1e-4, 3, 2
+MIN_CONFIDENCE = 0.7  # remarks go with whatever a language's documents are about, up to about half of the time
+SHORT = 3  # runs of lines of fewer words are one passage
 MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must lead all others and none
-UNSEEN_DOCS = 3.0  # documents without the subject that are added to those behind a rule
+UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind a rule
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
 MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
@@ -44,7 +46,7 @@ _OPEN = r"[^\s.!?;:。！？；][\"')\]»”]*$"
 
 
 class Passages:
-    """The passages of a batch of texts as flat arrays: lines, and sentences within lines.
+    """The passages of a batch of texts as flat arrays: sentences, lines, and runs of short lines.
 
     ``text``, ``words``: number of the text and count of the words of each passage that has words.
     ``at``, ``code``: passage and item of each distinct item, sorted; ``items`` names the codes. Items are
@@ -66,15 +68,18 @@ class Passages:
         beside = np.zeros(len(text), bool)
         beside[1:] |= open_end[:-1] & same
         beside[:-1] |= open_end[1:] & same
-        verse = open_end & beside & (n >= 4)
+        short = open_end & (n < SHORT) | (n == 0)
+        head = np.append(True, ~(same & short[1:] & short[:-1])) if len(text) else np.zeros(0, bool)
+        part = np.cumsum(head) - 1  # the passage of each line
+        verse = np.unique(part[open_end & beside & (n >= 4)])
         encoded = words.flatten().dictionary_encode()
         self.items: list[str] = [*encoded.dictionary.to_pylist(), VERSE]
         useful = np.array([bool(w) and not w.isdigit() for w in self.items[:-1]], bool)
-        owner = np.repeat(np.arange(len(text)), pc.list_value_length(words).to_numpy())
+        owner = np.repeat(part, pc.list_value_length(words).to_numpy())
         code = encoded.indices.to_numpy().astype(np.int64)
         keep = useful[code] if len(code) else np.zeros(0, bool)
-        marked = np.flatnonzero(verse)
-        pair = np.unique(np.append(owner[keep], marked) << 32 | np.append(code[keep], np.full(len(marked), len(self.items) - 1)))
+        pair = np.unique(np.append(owner[keep], verse) << 32 | np.append(code[keep], np.full(len(verse), len(self.items) - 1)))
+        n, text = np.bincount(part, n, part[-1] + 1 if len(part) else 0).astype(np.int64), text[head]
         number = np.cumsum(n > 0) - 1  # passages without words are left out
         self.text, self.words = text[n > 0], n[n > 0]
         self.at, self.code = number[pair >> 32], pair & 0xFFFFFFFF
@@ -196,7 +201,7 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
     # telling items: frequent enough, in documents of one subject more often than half of the time
     per = cut(train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs")))
-    telling = per.groupBy("x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("docs").alias("docs")).where((F.col("docs") >= 3) & (F.col("all") >= MIN_PASSAGES))
+    telling = per.groupBy("x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("docs").alias("docs")).where((F.col("docs") >= MIN_DOCS) & (F.col("all") >= MIN_PASSAGES))
     telling = telling.select("x", (F.col("most") / F.col("all")).alias("c")).where("c >= 0.3")
     best = train.withColumn("p", F.monotonically_increasing_id()).select("p", "s", F.explode("items").alias("x")).join(telling, "x")
     chosen = best.groupBy("p", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "x"))), 1, MAX_ITEMS).alias("xs"))
@@ -204,7 +209,7 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     n = transactions.count()
     if not n:
         return Rules(subjects, {})
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, MIN_PASSAGES / n), minConfidence=1.0).fit(transactions)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PASSAGES / n)), minConfidence=1.0).fit(transactions)
     sets = model.freqItemsets.where("size(items) <= 3").collect()
     share = {r["s"]: r["n"] / n for r in train.groupBy("s").agg(F.count("*").alias("n")).collect()}
     count: dict[tuple[str, ...], int] = {}
@@ -222,13 +227,18 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
         by_word.setdefault(r["x"], {})[r["s"]] = r["docs"]
     confidence: dict[tuple[tuple[str, ...], str], float] = {}
     over_passages = {(body, s): f / (count[body] + 2.0) for body, s, f in with_label}  # two unseen passages against the rule
-    for (body, s), c in over_passages.items():
+    for body, s, f in with_label:
+        c = over_passages[body, s]
         if len(body) == 1:
-            c = min(c, by_word[body[0]].get(s, 0) / (sum(by_word[body[0]].values()) + UNSEEN_DOCS))
-        confidence[body, s] = c
+            docs_with, docs_all = by_word[body[0]].get(s, 0), sum(by_word[body[0]].values())
+            if docs_with < MIN_CONFIDENCE * docs_all:
+                continue
+            c = min(c, docs_with / (docs_all + UNSEEN_DOCS))
+        if f >= MIN_CONFIDENCE * count[body]:
+            confidence[body, s] = c
     rules: dict[tuple[str, ...], dict[int, float]] = {}
     for (body, s), c in confidence.items():
-        if c < MIN_CONFIDENCE or s not in share:
+        if s not in share:
             continue
         if len(body) == 2 and c < max(over_passages.get(((x,), s), 0.0) for x in body) + GAIN:
             continue

@@ -87,3 +87,8 @@ def test_passages():
     assert p.words.tolist() == [2, 2, 1, 4, 5, 5, 1, 3] and p.text.tolist() == [0] * 6 + [5] * 2
     assert [subjects.VERSE in x for x in p.lists().to_pylist()] == [False, False, False, True, True, False, False, False]
     assert [sorted(x) for x in p.lists().to_pylist()[-2:]] == [["anil"], ["anil", "x"]] and p.lists().to_pylist()[2] == []
+
+
+def test_runs_of_short_lines_are_one_passage():
+    p = subjects.Passages(["one\n\ntwo\nthree four\nand a longer line here\nfive\nStop.\nsix"])
+    assert p.words.tolist() == [4, 5, 1, 1, 1] and p.lists().to_pylist()[0] == ["one", "two", "three", "four"]
