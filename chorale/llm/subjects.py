@@ -35,6 +35,7 @@ MIN_CONFIDENCE = 0.7  # remarks go with whatever a language's documents are abou
 SHORT = 3  # runs of lines of fewer words are one passage
 MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must lead all others and none
 UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind a rule
+UNSEEN_PAIRS = 6.0  # passages without the subject that are added to those behind a pair
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
 MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
@@ -234,14 +235,18 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
             if docs_with < MIN_CONFIDENCE * docs_all:
                 continue
             c = min(c, docs_with / (docs_all + UNSEEN_DOCS))
+        elif c < max(over_passages.get(((x,), s), 0.0) for x in body) + GAIN:
+            continue  # redundant
+        else:
+            c = f / (count[body] + UNSEEN_PAIRS)
+            if c < MIN_CONFIDENCE:
+                continue
         if f >= MIN_CONFIDENCE * count[body]:
             confidence[body, s] = c
     rules: dict[tuple[str, ...], dict[int, float]] = {}
     for (body, s), c in confidence.items():
         if s not in share:
             continue
-        if len(body) == 2 and c < max(over_passages.get(((x,), s), 0.0) for x in body) + GAIN:
-            continue
         p = min(0.5, share[s])
         odds = c / (1 - c) / (p / (1 - p))
         if odds >= MIN_ODDS:
