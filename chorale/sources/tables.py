@@ -21,8 +21,9 @@ def hundredths(seconds: Column) -> Column:
 def sound_spans(segments: Column) -> Column:
     """The sound segments as ARRAY<STRUCT<s, e>> in hundredths: both bounds known and end > start.
 
-    A NULL array gives an empty one, NULL elements are dropped, order and repeats are kept.
+    A NULL array gives an empty one, NULL elements are dropped, order and repeats are kept. The two
+    fields are named outside a lambda, so that the scan reads them and not the texts.
     """
-    spans = F.transform(segments, lambda x: F.struct(hundredths(x["start"]).alias("s"), hundredths(x["end"]).alias("e")))
+    spans = F.zip_with(segments["start"], segments["end"], lambda a, b: F.struct(hundredths(a).alias("s"), hundredths(b).alias("e")))
     kept = F.filter(spans, lambda x: x["e"] > x["s"])
     return F.coalesce(kept, F.array().cast("array<struct<s:bigint,e:bigint>>"))

@@ -49,3 +49,9 @@ def test_core_never_imports_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert ".llm" not in f.read_text(), f
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_intervals_read_no_texts(spark):
+    plan = core_queries.p3_found(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "segments:array<struct<start:double,end:double>>" in plan and "full_text" not in plan
