@@ -34,8 +34,7 @@ MIN_SUPPORT, MIN_PASSAGES, MIN_DOCS = 1e-4, 3, 2
 MIN_CONFIDENCE = 0.7  # remarks go with whatever a language's documents are about, up to about half of the time
 SHORT = 3  # runs of lines of fewer words are one passage
 MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must lead all others and none
-UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind a rule
-UNSEEN_PAIRS = 6.0  # passages without the subject that are added to those behind a pair
+UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind each word of a rule
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
 MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
@@ -201,8 +200,8 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     parts = cut(texts.where("size(ss) = 1 AND h <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
     train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
     # telling items: frequent enough, in documents of one subject more often than half of the time
-    per = cut(train.select("d", "s", F.explode("items").alias("x")).groupBy("x", "s").agg(F.count("*").alias("n"), F.count_distinct("d").alias("docs")))
-    telling = per.groupBy("x").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("docs").alias("docs")).where((F.col("docs") >= MIN_DOCS) & (F.col("all") >= MIN_PASSAGES))
+    per = cut(train.select("d", "s", F.explode("items").alias("x")).distinct().groupBy("x", "s").agg(F.count("*").alias("docs")))
+    telling = per.groupBy("x").agg(F.sum("docs").alias("all"), F.max("docs").alias("most")).where(F.col("all") >= MIN_DOCS)
     telling = telling.select("x", (F.col("most") / F.col("all")).alias("c")).where("c >= 0.3")
     best = train.withColumn("p", F.monotonically_increasing_id()).select("p", "s", F.explode("items").alias("x")).join(telling, "x")
     chosen = best.groupBy("p", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "x"))), 1, MAX_ITEMS).alias("xs"))
@@ -213,40 +212,26 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PASSAGES / n)), minConfidence=1.0).fit(transactions)
     sets = model.freqItemsets.where("size(items) <= 3").collect()
     share = {r["s"]: r["n"] / n for r in train.groupBy("s").agg(F.count("*").alias("n")).collect()}
-    count: dict[tuple[str, ...], int] = {}
-    with_label: list[tuple[tuple[str, ...], str, int]] = []
-    for r in sets:
-        names = [x for x in r["items"] if x.startswith(LABEL)]
-        body = tuple(sorted(x for x in r["items"] if not x.startswith(LABEL)))
-        if not names and len(body) <= 2:
-            count[body] = r["freq"]
-        elif len(names) == 1 and 1 <= len(body) <= 2:
-            with_label.append((body, names[0][1:], r["freq"]))
-    # passages of one document resemble each other, so the confidence of a word is also taken over documents
-    by_word: dict[str, dict[str, int]] = {}
+    # Passages of a document resemble each other, and a long document with a wrong label has many. So the
+    # sets are found over passages, and confidence is taken over documents.
+    behind: dict[tuple[str, ...], dict[str, int]] = {}
     for r in per.join(telling.select("x"), "x").select("x", "s", "docs").collect():
-        by_word.setdefault(r["x"], {})[r["s"]] = r["docs"]
+        behind.setdefault((r["x"],), {})[r["s"]] = r["docs"]
+    pairs = sorted({b for r in sets if len(b := tuple(sorted(x for x in r["items"] if not x.startswith(LABEL)))) == 2 and len(r["items"]) == 3})
+    for r in _documents_behind(train, pairs).collect():
+        behind.setdefault(pairs[r["pair"]], {})[r["s"]] = r["docs"]
     confidence: dict[tuple[tuple[str, ...], str], float] = {}
-    over_passages = {(body, s): f / (count[body] + 2.0) for body, s, f in with_label}  # two unseen passages against the rule
-    for body, s, f in with_label:
-        c = over_passages[body, s]
-        if len(body) == 1:
-            docs_with, docs_all = by_word[body[0]].get(s, 0), sum(by_word[body[0]].values())
-            if docs_with < MIN_CONFIDENCE * docs_all:
-                continue
-            c = min(c, docs_with / (docs_all + UNSEEN_DOCS))
-        elif c < max(over_passages.get(((x,), s), 0.0) for x in body) + GAIN:
-            continue  # redundant
-        else:
-            c = f / (count[body] + UNSEEN_PAIRS)
-            if c < MIN_CONFIDENCE:
-                continue
-        if f >= MIN_CONFIDENCE * count[body]:
-            confidence[body, s] = c
+    for body, by in behind.items():
+        total = sum(by.values())
+        for s, n in by.items():
+            if n >= MIN_CONFIDENCE * total and n >= MIN_DOCS:
+                confidence[body, s] = n / (total + UNSEEN_DOCS * len(body))
     rules: dict[tuple[str, ...], dict[int, float]] = {}
     for (body, s), c in confidence.items():
         if s not in share:
             continue
+        if len(body) == 2 and c < max(confidence.get(((x,), s), 0.0) for x in body) + GAIN:
+            continue  # redundant
         p = min(0.5, share[s])
         odds = c / (1 - c) / (p / (1 - p))
         if odds >= MIN_ODDS:
@@ -257,6 +242,30 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     return out
 
 
+def _documents_behind(train: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Documents of each subject with a passage that holds a pair: pair (its number), s, docs."""
+    after: dict[str, dict[str, int]] = {}
+    for i, (a, b) in enumerate(pairs):
+        after.setdefault(a, {})[b] = i
+    second = {b for _, b in pairs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, s, pair = [], [], []
+            for doc, subject, items in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = second.intersection(items)
+                for a in items:
+                    if a in after:
+                        for b in ends & after[a].keys():
+                            d.append(doc)
+                            s.append(subject)
+                            pair.append(after[a][b])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.string()), pa.array(pair, pa.int64())], names=["d", "s", "pair"])
+
+    hits = train.select("d", "s", "items").mapInArrow(run, "d bigint, s string, pair bigint").distinct()
+    return hits.groupBy("pair", "s").agg(F.count("*").alias("docs"))
+
+
 def shares(docs: DataFrame, rules: Rules, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Share of each document's words per subject: key, subject, words, doc_words, share, confidence.
 
