@@ -31,7 +31,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, con, name):
-    df = queries.queries()[name](spark, str(DATA))
+    # two dozen labels at the smallest scale are too few for any rule of problem 9
+    df = queries.queries()[name](spark, str(DATA.parent / "sf0.01" if name.startswith("p9") else DATA))
     got = rows(df.columns, df.collect())
     assert got
     if name in SQL:
@@ -50,7 +51,7 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", COLUMNS)
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_columns(spark, name):
     df = queries.queries()[name](spark, str(DATA))
     assert ", ".join(f"{n} {t}" for n, t in df.dtypes) == COLUMNS[name]
