@@ -60,3 +60,18 @@ def test_word_errors_column(spark):
     e = wer.word_errors(F.col("r"), F.col("h"))
     rows = df.select(e.alias("e")).select("e.edits", "e.reference_words", F.round(wer.error_rate(F.col("e.edits"), F.col("e.reference_words")), 4)).collect()
     assert [tuple(r) for r in rows] == [(1, 3, 0.3333), (2, 0, None), (0, 0, None), (0, 2, 0.0)]
+
+
+def test_sound_spans(spark):
+    from chorale.sources.tables import sound_spans
+
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [("a", 0.0, 1.25), ("b", 1.0, 1.0), ("c", 3.0, 2.0), ("d", None, 1.0), ("e", 1.0, None), None]),
+        (2, [("a", nan, 1.0), ("b", 0.0, nan), ("c", -inf, inf), ("d", 0.0, 1e300), ("e", -0.125, 0.125), ("f", 0.004, 0.005)]),
+        (3, []),
+        (4, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, segments array<struct<text:string,start:double,end:double>>")
+    got = {r.id: [tuple(x) for x in r.s] for r in df.select("id", sound_spans(F.col("segments")).alias("s")).collect()}
+    assert got == {1: [(0, 125)], 2: [(-13, 13), (0, 1)], 3: [], 4: []}
