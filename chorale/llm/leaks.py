@@ -24,7 +24,7 @@ from .words import letter_words
 
 WINDOW = 12
 BUDGET = 1
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
