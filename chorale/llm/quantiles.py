@@ -54,17 +54,36 @@ def combine(*tables: DataFrame, names: tuple[str, str] = NAMES) -> DataFrame:
     return out.groupBy(*[c for c in out.columns if c != n]).agg(F.sum(n).alias(n))
 
 
-def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str] = NAMES) -> DataFrame:
+def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str] = NAMES, levels: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """Nearest-rank percentiles of a frequency table: columns ``groups``, ``permille``, then ``names``.
 
     The p-permille value is the smallest value whose running count reaches ``ceil(p * n / 1000)``
     (at least 1). The last column is the count of the group. Groups without counts give no row.
+
+    ``levels`` are sets of group columns (all of them, unless told otherwise); each gives its own rows,
+    with NULL in the columns that it leaves out. One sorted table serves all levels: it is in the order
+    of the columns that they share and the value, and the counts of what a level leaves out (the days
+    of a period, say) add up in the running sums.
     """
+    value, n = names
     groups = [c for c in freq.columns if c not in names]
-    keys = [f"g{i}" for i in range(len(groups))]
-    src = freq.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], F.col(f"`{names[0]}`").alias("value"), F.col(f"`{names[1]}`").alias("n")).where("n > 0")
-    # kept once: bounds of a range partitioning come from a sample, and both readers must see the same
-    table = kept(src.repartitionByRange(*keys, "value").sortWithinPartitions(*keys, "value").withColumn("part", F.spark_partition_id()))
+    keys = {g: f"g{i}" for i, g in enumerate(groups)}
+    levels = [groups] if levels is None else levels
+    shared = [keys[g] for g in groups if all(g in level for level in levels)]
+    src = freq.select(*[F.col(f"`{g}`").alias(k) for g, k in keys.items()], F.col(f"`{value}`").alias("value"), F.col(f"`{n}`").alias("n")).where("n > 0")
+    # kept once: bounds of a range partitioning come from a sample, and all readers must see the same
+    table = kept(src.repartitionByRange(*shared, "value").sortWithinPartitions(*shared, "value").withColumn("part", F.spark_partition_id()))
+    out = None
+    for level in levels:
+        hits = _level(table, [keys[g] for g in groups if g in level], permille)
+        columns = [(F.col(k) if g in level else F.lit(None).cast(freq.schema[g].dataType)).alias(g) for g, k in keys.items()]
+        rows = hits.select(*columns, F.col("p").alias("permille"), F.col("value").alias(value), F.col("total").alias(n))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _level(table: DataFrame, keys: list[str], permille: Sequence[int]) -> DataFrame:
+    """Percentiles by ``keys`` of the sorted table: keys, p, value, total."""
     sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
     by_group = Window.partitionBy(*keys)
     offsets = sums.select(
@@ -78,5 +97,4 @@ def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str]
     up = Window.partitionBy(*keys, "part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = rows.select(*keys, "value", "n", F.sum("n").over(up).alias("cum"), F.first("total").over(up).alias("total")).where("value IS NOT NULL")
     ranks = F.array(*[F.expr(f"struct({int(p)} AS p, greatest(1L, (total * {int(p)} + 999) div 1000) AS r)") for p in permille])
-    hits = full.select(*keys, "value", "total", F.inline(F.filter(ranks, lambda x: (x["r"] <= F.col("cum")) & (x["r"] > F.col("cum") - F.col("n")))))
-    return hits.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("p").alias("permille"), F.col("value").alias(names[0]), F.col("total").alias(names[1]))
+    return full.select(*keys, "value", "total", F.inline(F.filter(ranks, lambda x: (x["r"] <= F.col("cum")) & (x["r"] > F.col("cum") - F.col("n"))))).select(*keys, "p", "value", "total")

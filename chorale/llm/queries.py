@@ -98,11 +98,10 @@ GROUPS = ["model_name", "whisper_implementation", "audio_type"]
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of timings per model, implementation and audio type, of each day and of all days.
 
-    The days' frequency tables are combined into that of the whole period, whose ``day`` is NULL.
+    The frequencies of the days add up to those of the whole period, whose ``day`` is NULL.
     """
     daily = quantiles.frequencies(_timings(spark, sf_dir), ["day", *GROUPS], F.col("transcription_time"))
-    whole = quantiles.combine(daily.drop("day")).withColumn("day", F.lit(None).cast("date"))
-    return quantiles.percentiles(daily.unionByName(whole), PERMILLE)
+    return quantiles.percentiles(daily, PERMILLE, levels=[["day", *GROUPS], GROUPS])
 
 
 def p6_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:

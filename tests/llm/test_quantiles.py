@@ -50,3 +50,11 @@ def test_no_groups_and_empty(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
     assert {(r.permille, r.value) for r in quantiles.percentiles(quantiles.frequencies(df, [], F.col("v")), [500, 990]).collect()} == {(500, 50.0), (990, 99.0)}
     assert quantiles.percentiles(quantiles.frequencies(df.where("v < 0"), [], F.col("v")), [500]).collect() == []
+
+
+def test_levels_share_one_table(spark, rows):
+    df = spark.createDataFrame(rows, "g string, day int, v double").repartition(5)
+    f = quantiles.frequencies(df, ["day", "g"], F.col("v"))
+    got = {tuple(r) for r in quantiles.percentiles(f, PS, levels=[["g", "day"], ["g"], []]).collect()}
+    want = {(d, g, *x) for g, d, *x in brute(rows)} | {(None, g, *x) for g, *x in brute([(g, v) for g, _, v in rows])} | {(None, None, *x) for x in brute([(v,) for _, _, v in rows])}
+    assert got == want
