@@ -39,7 +39,7 @@ TILE = 512
 #: Sets per block beyond which an element's block is split into pairs of tiles.
 HOT = 20_000
 #: Elements per bucket of blocks that one task takes at once, on average.
-BUCKET = 250_000
+BUCKET = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_WORD = r"[^\p{L}\p{N}]+"
 
