@@ -2,8 +2,9 @@
 
 Documents are cut into passages (lines and sentences). The passages of labelled documents are
 transactions: their telling words, marks of their form, and the subject of the document. Frequent item
-sets come from Spark's parallel frequent-pattern growth; those that hold a subject give rules
-"words -> subject" with a confidence. A rule is redundant, and pruned, if a part of its words gives
+sets come from parallel frequent-pattern growth over whole passages, which stops at two words; those that
+hold a subject give rules "words -> subject" with a confidence. (Spark's own growth can't be told to
+stop, and a passage of n words that comes often enough has 2^n sets.) A rule is redundant, and pruned, if a part of its words gives
 the same subject with about the same confidence. A passage is scored by the evidence (log-odds against
 the subject's share) of the rules that match it, and the sums are calibrated against labelled documents
 that the rules were not mined from. Document shares are the words of its passages per subject.
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +37,8 @@ MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must le
 UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind each word of a rule
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
-MAX_ITEMS = 5  # telling items of a training passage that go into the mining, the surest first
+PAIRS_AT_ONCE = 1 << 20  # pairs of words that a task gathers before it adds them up
 SHARE = 0.25
-LABEL = "="
 VERSE = "#verse"
 _STOP = r"([.!?;])\s+|([。！？；])"
 _OPEN = r"[^\s.!?;:。！？；][\"')\]»”]*$"
@@ -198,28 +197,17 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
 
     texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "d")
     parts = cut(texts.where("size(ss) = 1 AND h <> 0").mapInArrow(split, "d bigint, h bigint, ss array<string>, items array<string>"))
-    train = parts.select("d", F.col("ss")[0].alias("s"), "items").distinct()
-    # telling items: frequent enough, in documents of one subject more often than half of the time
-    per = cut(train.select("d", "s", F.explode("items").alias("x")).distinct().groupBy("x", "s").agg(F.count("*").alias("docs")))
-    telling = per.groupBy("x").agg(F.sum("docs").alias("all"), F.max("docs").alias("most")).where(F.col("all") >= MIN_DOCS)
-    telling = telling.select("x", (F.col("most") / F.col("all")).alias("c")).where("c >= 0.3")
-    best = train.withColumn("p", F.monotonically_increasing_id()).select("p", "s", F.explode("items").alias("x")).join(telling, "x")
-    chosen = best.groupBy("p", "s").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "x"))), 1, MAX_ITEMS).alias("xs"))
-    transactions = cut(chosen.select(F.concat(F.array(F.concat(F.lit(LABEL), "s")), F.col("xs.x")).alias("items")))
-    n = transactions.count()
+    train = parts.select("d", F.col("ss")[0].alias("s"), "items").repartition(docs.sparkSession.sparkContext.defaultParallelism, "d").distinct()
+    share = {r["s"]: r["n"] for r in train.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    n = sum(share.values())
     if not n:
         return Rules(subjects, {})
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_PASSAGES / n)), minConfidence=1.0).fit(transactions)
-    sets = model.freqItemsets.where("size(items) <= 3").collect()
-    share = {r["s"]: r["n"] / n for r in train.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    share = {s: x / n for s, x in share.items()}
     # Passages of a document resemble each other, and a long document with a wrong label has many. So the
     # sets are found over passages, and confidence is taken over documents.
     behind: dict[tuple[str, ...], dict[str, int]] = {}
-    for r in per.join(telling.select("x"), "x").select("x", "s", "docs").collect():
-        behind.setdefault((r["x"],), {})[r["s"]] = r["docs"]
-    pairs = sorted({b for r in sets if len(b := tuple(sorted(x for x in r["items"] if not x.startswith(LABEL)))) == 2 and len(r["items"]) == 3})
-    for r in _documents_behind(train, pairs).collect():
-        behind.setdefault(pairs[r["pair"]], {})[r["s"]] = r["docs"]
+    for r in frequent_sets(train, max(MIN_PASSAGES, int(np.ceil(MIN_SUPPORT * n)))).collect():
+        behind.setdefault(tuple(r["body"]), {})[r["s"]] = r["docs"]
     confidence: dict[tuple[tuple[str, ...], str], float] = {}
     for body, by in behind.items():
         total = sum(by.values())
@@ -242,28 +230,73 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
     return out
 
 
-def _documents_behind(train: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Documents of each subject with a passage that holds a pair: pair (its number), s, docs."""
-    after: dict[str, dict[str, int]] = {}
-    for i, (a, b) in enumerate(pairs):
-        after.setdefault(a, {})[b] = i
-    second = {b for _, b in pairs}
+def frequent_sets(train: DataFrame, least: int) -> DataFrame:
+    """Bodies of one and two words that some subject has in ``least`` passages: body, s, passages, docs for each subject.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``train`` has a passage a row (d, s, items), all of a document in one partition. Words are grown to
+    pairs if they are frequent and telling: in ``MIN_DOCS`` documents, three in ten of one subject. Every
+    pair of such words counts in every passage, however many it has.
+    """
+    per = train.select("d", "s", F.explode("items").alias("x")).groupBy("d", "s", "x").agg(F.count("*").alias("n"))
+    per = cut(per.groupBy("x", "s").agg(F.sum("n").alias("passages"), F.count("*").alias("docs")))
+    telling = per.groupBy("x").agg(F.sum("docs").alias("all"), F.max("docs").alias("most"), F.max("passages").alias("top"))
+    telling = telling.where((F.col("all") >= MIN_DOCS) & (F.col("most") >= 0.3 * F.col("all")) & (F.col("top") >= least)).select("x")
+    words = sorted(r["x"] for r in telling.collect())
+    shared = train.sparkSession.sparkContext.broadcast(words)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).sort_by("d").combine_chunks()
+        known = pa.array(shared.value, pa.string())
+        subject, lists = (pa.concat_arrays(t.column(c).chunks) for c in ("s", "items"))
+        subject = subject.dictionary_encode()
+        code = pc.index_in(lists.flatten(), known)
+        hit = code.is_valid().to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(t)), pc.list_value_length(lists).to_numpy())[hit]
+        item = code.drop_null().to_numpy().astype(np.int64)
+        order = np.lexsort((item, at))
+        at, item = at[order], item[order]
+        d = t.column("d").to_numpy()
+        doc = np.cumsum(np.append(0, d[1:] != d[:-1]))
+        size = np.bincount(at, minlength=len(t))
+        block = np.cumsum(np.bincount(doc, size * (size - 1) // 2)) // PAIRS_AT_ONCE  # of each document
+        for a, b in zip(*(np.searchsorted(block[doc[at]], np.unique(block), side) for side in ("left", "right"))):
+            r, x = at[a:b], item[a:b]
+            row, pair, step = [], [], 1
+            while len(i := np.flatnonzero(r[step:] == r[:-step])):
+                row.append(r[i])
+                pair.append(x[i] * len(known) + x[i + step])
+                step += 1
+            if not row:
+                continue
+            row, pair = np.concatenate(row), np.concatenate(pair)
+            of, own = subject.indices.to_numpy()[row], doc[row]
+            order = np.lexsort((own, of, pair))
+            pair, of, own = pair[order], of[order], own[order]
+            new = np.append(True, (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]))
+            head = np.flatnonzero(new)
+            other = new | np.append(True, own[1:] != own[:-1])  # another document
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair[head]), subject.dictionary.take(pa.array(of[head])), pa.array(np.diff(np.append(head, len(pair)))), pa.array(np.add.reduceat(other.astype(np.int64), head))],
+                names=["pair", "s", "passages", "docs"],
+            )
+
+    pairs = train.select("d", "s", "items").mapInArrow(grow, "pair bigint, s string, passages bigint, docs bigint")
+    pairs = pairs.groupBy("pair", "s").agg(F.sum("passages").alias("passages"), F.sum("docs").alias("docs"))
+    pairs = pairs.groupBy("pair").agg(F.collect_list(F.struct("s", "passages", "docs")).alias("by"), F.max("passages").alias("top")).where(F.col("top") >= least)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
         for batch in batches:
-            d, s, pair = [], [], []
-            for doc, subject, items in zip(*(c.to_pylist() for c in batch.columns)):
-                ends = second.intersection(items)
-                for a in items:
-                    if a in after:
-                        for b in ends & after[a].keys():
-                            d.append(doc)
-                            s.append(subject)
-                            pair.append(after[a][b])
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.string()), pa.array(pair, pa.int64())], names=["d", "s", "pair"])
-
-    hits = train.select("d", "s", "items").mapInArrow(run, "d bigint, s string, pair bigint").distinct()
-    return hits.groupBy("pair", "s").agg(F.count("*").alias("docs"))
+            pair = batch.column(0).to_numpy()
+            both = known.take(pa.array(np.stack([pair // len(known), pair % len(known)], 1).ravel()))
+            bodies = pa.ListArray.from_arrays(pa.array(np.arange(len(pair) + 1) * 2, pa.int32()), both)
+            yield pa.RecordBatch.from_arrays([bodies, *(batch.column(i) for i in (1, 2, 3))], names=["body", "s", "passages", "docs"])
+
+    pairs = pairs.select("pair", F.inline("by")).mapInArrow(name, "body array<string>, s string, passages bigint, docs bigint")
+    return per.join(telling, "x").select(F.array("x").alias("body"), "s", "passages", "docs").unionByName(pairs)
 
 
 def shares(docs: DataFrame, rules: Rules, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -92,3 +92,31 @@ def test_passages():
 def test_runs_of_short_lines_are_one_passage():
     p = subjects.Passages(["one\n\ntwo\nthree four\nand a longer line here\nfive\nStop.\nsix"])
     assert p.words.tolist() == [4, 5, 1, 1, 1] and p.lists().to_pylist()[0] == ["one", "two", "three", "four"]
+
+
+def test_sets_are_those_of_unbounded_growth(spark, monkeypatch):
+    from pyspark.ml.fpm import FPGrowth
+
+    rnd = random.Random(4)
+    train = [(i // 3, "ab"[i // 3 % 2], rnd.sample("klmnopqrstuvw", rnd.randint(0, 9))) for i in range(180)]
+    df = spark.createDataFrame(train, "d long, s string, items array<string>").repartition(3, "d")
+    transactions = spark.createDataFrame([(["=" + s, *x],) for _, s, x in train], "items array<string>")
+    sets = FPGrowth(itemsCol="items", minSupport=8.5 / 180, minConfidence=1.0).fit(transactions).freqItemsets.collect()
+    want = {(frozenset(r["items"]), r["freq"]) for r in sets if 2 <= len(r["items"]) <= 3 and sum(x[0] == "=" for x in r["items"]) == 1}
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(subjects, "PAIRS_AT_ONCE", at_once)
+        rows = subjects.frequent_sets(df, 9).collect()
+        assert {(frozenset(["=" + r.s, *r.body]), r.passages) for r in rows if r.passages >= 9} == want
+        assert len({(r.s, *r.body) for r in rows}) == len(rows)
+        assert all(r.docs == len({d for d, s, x in train if s == r.s and set(r.body) <= set(x)}) for r in rows)
+
+
+def test_pairs_beside_many_surer_words_give_rules(spark):
+    sure = [f"w{i}" for i in range(10)]
+    docs = [(i, " ".join([*sure, "p", "q"] if i % 2 else ["p", "t"] if i % 4 else ["q", "u"]) + ".") for i in range(120)]
+    labels = [(i, "ab"[i % 2 == 0]) for i in range(120)]
+    areas = spark.createDataFrame([("a",), ("b",)], "subject string")
+    rules = subjects.mine(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"), areas)
+    p, q = rules.index.get("p"), rules.index.get("q")
+    assert p is not None and q is not None and not rules.single[[p, q]].any()
+    assert min(p, q) * len(rules.index) + max(p, q) in rules.keys
