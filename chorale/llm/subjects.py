@@ -39,6 +39,7 @@ MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
 PAIRS_AT_ONCE = 1 << 20  # pairs of words that a task gathers before it adds them up
 SHARE = 0.25
+MAX_SUBJECTS = 1000  # the workers hold words x subjects and passages x subjects; above it, mining fails
 VERSE = "#verse"
 _STOP = r"([.!?;])\s+|([。！？；])"
 _OPEN = r"[^\s.!?;:。！？；][\"')\]»”]*$"
@@ -177,8 +178,11 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int =
 
     Labels that are NULL or no subject of ``areas`` don't count. Rules are mined from documents whose
     annotators name one subject only; a fifth of all labelled documents is kept out for calibration.
+    More than ``MAX_SUBJECTS`` subjects are an error: none is left out.
     """
-    subjects = [r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(1000).collect()]
+    subjects = [r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(MAX_SUBJECTS + 1).collect()]
+    if len(subjects) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     named = labels.select(F.col("doc_id").alias("d"), F.col("subject").alias("s")).where(F.col("s").isin(*subjects)).distinct()
     per_doc = named.groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("ss")).withColumn("h", F.pmod(F.xxhash64("d"), F.lit(1 << 20)))
     # A bounded sample, so it may be broadcast and no text is shuffled for it. Each language and subject

@@ -120,3 +120,12 @@ def test_pairs_beside_many_surer_words_give_rules(spark):
     p, q = rules.index.get("p"), rules.index.get("q")
     assert p is not None and q is not None and not rules.single[[p, q]].any()
     assert min(p, q) * len(rules.index) + max(p, q) in rules.keys
+
+
+def test_too_many_subjects_are_an_error(spark, corpus):
+    d, lab, _, _ = corpus
+    many = spark.range(subjects.MAX_SUBJECTS + 1).select(F.col("id").cast("string").alias("subject"))
+    with pytest.raises(ValueError, match="subjects"):
+        subjects.mine(d, lab, many)
+    rules = subjects.mine(d, lab.where("false"), many.where("subject <> '0'"))
+    assert len(rules.subjects) == subjects.MAX_SUBJECTS
