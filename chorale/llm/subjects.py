@@ -33,7 +33,9 @@ TRAIN_DOCS = 5_000
 MIN_SUPPORT, MIN_PASSAGES, MIN_DOCS = 1e-4, 3, 2
 MIN_CONFIDENCE = 0.7  # remarks go with whatever a language's documents are about, up to about half of the time
 SHORT = 3  # runs of lines of fewer words are one passage
-MIN_LEAD = 3.5  # least evidence (log-odds) by which a passage's subject must lead all others and none
+PRECISION = 0.8  # least calibrated chance of a passage's subject; labels are themselves wrong now and then
+MIN_HELD, GROUP = 200, 25  # least number of held-out passages with evidence to calibrate on; passages a point
+MIN_LEAD = 3.5  # with fewer, the least evidence (log-odds) by which a subject must lead all others and none
 UNSEEN_DOCS = 2.0  # documents without the subject that are added to those behind each word of a rule
 MIN_ODDS = 3.0  # how much a rule must raise the odds of its subject
 GAIN = 0.05  # how much surer a pair must be than its parts
@@ -94,7 +96,7 @@ class Rules:
     """Rules as sorted arrays: item -> evidence, pair of items -> evidence, and the calibration."""
 
     def __init__(self, subjects: list[str], rules: dict[tuple[str, ...], dict[int, float]], cut: float = MIN_LEAD):
-        self.subjects, self.cut = subjects, cut
+        self.subjects, self.cut, self.calibrated = subjects, cut, False
         items = sorted({x for k in rules for x in k})
         self.index = {x: i for i, x in enumerate(items)}
         self.single = np.zeros((len(items), len(subjects)), np.float32)
@@ -154,23 +156,29 @@ class Rules:
         if not len(p.words):
             return np.zeros(0, np.int64), np.zeros(0)
         best, top, lead = self.lead(self.evidence(p))
-        return np.where((top > 0) & (lead >= self.cut), best, -1), np.interp(lead, *self.curve)
+        chance = np.interp(lead, *self.curve)
+        return np.where((top > 0) & (chance >= PRECISION if self.calibrated else lead >= self.cut), best, -1), chance
 
     def calibrate(self, texts: list[str], labels: list[set[int]]) -> None:
-        """From held-out documents and their labels: the curve from lead to precision."""
+        """From held-out documents and their labels: the curve from lead to precision, which never falls."""
         p = Passages(texts)
         if not len(p.words):
             return
         best, top, gap = self.lead(self.evidence(p))
         some = np.flatnonzero(top > 0)
         lead, right = gap[some], np.array([int(best[i]) in labels[p.text[i]] for i in some])
-        if len(lead) < 50:
+        if len(lead) < MIN_HELD:
             return
-        order = np.argsort(lead)
+        order = np.argsort(lead, kind="stable")
         x, y = lead[order], right[order].astype(float)
-        groups = np.array_split(np.arange(len(x)), 20)
-        gx, gy = np.array([x[g].mean() for g in groups]), np.array([y[g].mean() for g in groups])
-        self.curve = (gx, np.maximum.accumulate(gy))
+        blocks: list[list[float]] = []  # number, sum of leads, right ones; neighbours that fall are pooled
+        for g in np.array_split(np.arange(len(x)), len(x) // GROUP):
+            blocks.append([len(g), float(x[g].sum()), float(y[g].sum())])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][0] >= blocks[-1][2] * blocks[-2][0]:
+                last = blocks.pop()
+                blocks[-1] = [i + j for i, j in zip(blocks[-1], last)]
+        n, sums, good = np.array(blocks).T
+        self.curve, self.calibrated = (sums / n, good / n), True
 
 
 def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_docs: int = TRAIN_DOCS) -> Rules:

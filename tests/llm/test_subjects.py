@@ -129,3 +129,19 @@ def test_too_many_subjects_are_an_error(spark, corpus):
         subjects.mine(d, lab, many)
     rules = subjects.mine(d, lab.where("false"), many.where("subject <> '0'"))
     assert len(rules.subjects) == subjects.MAX_SUBJECTS
+
+
+def test_the_calibrated_chance_decides():
+    # both lead by more than the uncalibrated cutoff; "weak" is right in half of the held-out documents
+    r = subjects.Rules(["a", "b"], {("weak",): {0: 4.0}, ("sure",): {0: 5.0}})
+    few = [f"{w} {i}." for w in ("weak", "sure") for i in range(40)]
+    r.calibrate(few, [{i % 2} for i in range(80)])
+    p = subjects.Passages(["weak.", "sure.", "other."])
+    assert r.assign(p)[0].tolist() == [0, 0, -1]  # too few labels: the evidence alone
+    many = [f"{w} {i}." for w in ("weak", "sure") for i in range(200)]
+    r.calibrate(many, [{i % 2} if i < 200 else {0} for i in range(400)])
+    subject, chance = r.assign(p)
+    assert subject.tolist() == [-1, 0, -1] and chance[0] == pytest.approx(0.5, abs=0.05) and chance[1] == 1
+    low = subjects.Rules(["a", "b"], {("sure",): {0: 1.0}})
+    low.calibrate(many[200:], [{0}] * 200)
+    assert low.assign(p)[0].tolist() == [-1, 0, -1]  # below the uncalibrated cutoff
