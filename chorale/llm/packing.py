@@ -6,9 +6,10 @@ in which an item keeps every capacity, the one with the best score is chosen: th
 norm of the residual it leaves (``norm``), or the largest weighted dot product of item and residual
 (``dot``). Only items above the token capacity are cut, into full parts and a rest.
 
-Items are spread by a hash of their id over shards of about ``SHARD`` items, each packed in one task
-with only (id, size) rows shuffled; a shard wastes at most about one bin, so the loss from sharding is
-below one part in several hundred and doesn't grow with the data.
+Items are spread by a hash over shards of about ``SHARD`` items, each packed in one task with only
+(id, size, count) rows shuffled. Equal items (a third of all rows may share an id, or have none) are
+counted before the shuffle and dealt out in lots of at most a shard. A shard wastes at most about one
+bin, so the loss from sharding is below one part in several hundred and doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 MAX_ITEMS = 64
+#: Attention cost that a bin may have: three quarters of that of one text as long as the bin.
+COST = CAPACITY * CAPACITY * 3 // 4
 SHARD = 8192
 WEIGHTS = (1.0, 0.02, 0.02)
 
@@ -80,6 +83,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, max_it
         if not got:
             return
         t = pa.Table.from_batches(got).sort_by([("n", "descending"), ("k", "ascending")])
+        t = t.take(pa.array(np.repeat(np.arange(len(t)), t.column("c").to_numpy())))
         n = t.column("n").to_numpy()
         full = np.maximum(n, 0) // capacity
         rest = np.maximum(n, 0) - full * capacity
@@ -102,15 +106,23 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, max_it
         bin_id[at], start[at] = (np.int64(shard) << 32) + bins, place
         yield pa.RecordBatch.from_arrays([t.column("k").combine_chunks().take(pa.array(row)), pa.array(part, pa.int64()), pa.array(length, pa.int64()), pa.array(bin_id, mask=~some), pa.array(start, mask=~some)], names=["k", "part_no", "n_tokens", "bin_id", "start"])
 
-    spread = src.repartition(shards, F.xxhash64("k"))
+    lots = src.groupBy("k", "n").agg(F.count("*").alias("c"))
+    lots = lots.select("k", "n", "c", F.explode(F.sequence(F.lit(0), F.expr(f"(c - 1) div {shard_items}").cast("int"))).alias("lot"))
+    spread = lots.select("k", "n", F.least(F.col("c") - F.col("lot") * shard_items, F.lit(shard_items)).cast("bigint").alias("c"), "lot").repartition(shards, F.xxhash64("k", "n", "lot")).drop("lot")
     out = spread.mapInArrow(run, f"k {kind}, part_no bigint, n_tokens bigint, bin_id bigint, start bigint")
     return out.withColumnRenamed("k", key)
 
 
-def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Over all bins: how many, tokens in them, share filled, least possible number of bins."""
-    bins = packed.where("bin_id IS NOT NULL").groupBy("bin_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
+def fill_report(packed: DataFrame, capacity: int = CAPACITY, max_cost: int = COST) -> DataFrame:
+    """Over all bins: how many, tokens in them, share filled, least possible number of bins, and the attention cost.
+
+    ``highest_cost`` is that of the dearest bin of several items; ``lone_items`` are those that break the
+    cost by themselves.
+    """
+    n = F.col("n_tokens")
+    bins = packed.where("bin_id IS NOT NULL").groupBy("bin_id").agg(F.sum(n).alias("t"), F.count("*").alias("c"), F.sum(n * n).alias("q"))
     return bins.agg(
+        F.max(F.when(F.col("c") > 1, F.col("q"))).alias("highest_cost"), F.count_if((F.col("c") == 1) & (F.col("q") > max_cost)).alias("lone_items"),
         F.count("*").alias("bins"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.max("c").alias("most_items"),
         F.round(F.try_divide(F.sum("t"), F.count("*") * capacity), 6).alias("filled"), F.ceil(F.sum("t") / capacity).alias("bins_at_least"),
     )

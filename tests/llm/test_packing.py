@@ -62,3 +62,17 @@ def test_same_result_whatever_the_partitions(spark):
     assert a == b
     report = packing.fill_report(packing.pack(df, "k", "n")).first()
     assert report.tokens == sum((i * 37) % 500 + 1 for i in range(900)) and report.bins >= report.bins_at_least
+
+
+def test_a_hot_id_is_spread_over_shards(spark):
+    df = spark.createDataFrame([(None if i % 3 else i, 100) for i in range(600)], "k long, n long")
+    rows = packing.pack(df, "k", "n", shard_items=50).collect()
+    assert len(rows) == 600 and len({r.bin_id >> 32 for r in rows if r.k is None}) > 3
+    assert all(sum(r.n_tokens for r in rows if r.bin_id == b) <= 2048 for b in {r.bin_id for r in rows})
+
+
+def test_registered_queries_bind_the_cost(spark):
+    from chorale.llm import queries
+
+    r = queries.p7_fill(spark, "/root/testdata/sf0.01").first()
+    assert 0.9 * packing.COST < r.highest_cost <= packing.COST and r.filled > 0.98 and r.lone_items > 0
