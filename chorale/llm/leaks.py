@@ -7,8 +7,10 @@ looked up in each document; around every exact hit the passages that contain the
 with Myers' bit-parallel distance, one bit a word, run over all candidates of a batch at once.
 
 The items are the stated query set: they go to the workers in blocks of ``BLOCK_CHARS`` characters,
-one pass over the corpus per block, so what is broadcast is bounded whatever their number. Documents
-never move: the corpus is read once per block and only matches come out.
+one pass over the corpus per block, so what is broadcast is bounded whatever their number. The index of
+a block is built once and loaded once a worker; with several blocks each one's matches are written and
+its index dropped before the next. Documents never move: the corpus is read once per block and only
+matches come out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .words import letter_words
 
 WINDOW = 12
@@ -40,21 +43,36 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def myers(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Least edit distance of each row of ``pattern`` to any substring of the same row of ``text``.
+def match_masks(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys of (row, symbol) of all patterns, the bits where the row holds the symbol, the factor of a row."""
+    rows, m = pattern.shape
+    base = int(pattern.max(initial=0)) + 2
+    key = (np.arange(rows)[:, None] * base + pattern + 1).ravel()
+    order = np.argsort(key, kind="stable")
+    key, bit = key[order], np.tile(np.left_shift(np.int64(1), np.arange(m, dtype=np.int64)), rows)[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.bitwise_or.reduceat(bit, at) if len(at) else bit, base
+
 
-    Bit-parallel over the pattern (at most 62 symbols), vectorised over rows. Negative symbols match
-    nothing.
+def myers(pattern: np.ndarray, text: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Least edit distance of each row of ``text``'s pattern to any substring of that row.
+
+    ``which`` is the pattern's number of each row of ``text`` (the same row, unless told otherwise), so the
+    match mask of every symbol is made once a pattern. Bit-parallel over the pattern (at most 62 symbols),
+    vectorised over rows. Negative symbols match nothing.
     """
-    rows, m = pattern.shape
+    rows, m = len(text), pattern.shape[1]
     full, top = np.int64((1 << m) - 1), np.int64(1 << (m - 1))
     pv, mv = np.full(rows, full), np.zeros(rows, np.int64)
     score = np.full(rows, m, np.int64)
     best = score.copy()
-    bits = np.left_shift(np.int64(1), np.arange(m, dtype=np.int64))
+    keys, masks, base = match_masks(pattern)
+    which = np.arange(rows) if which is None else which
+    wanted = np.where((text >= 0) & (text < base - 1), which[:, None] * base + text + 1, -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    every = np.where(keys[at] == wanted, masks[at], 0) if len(keys) else np.zeros(text.shape, np.int64)
     for j in range(text.shape[1]):
-        t = text[:, j : j + 1]
-        eq = ((pattern == t) & (t >= 0)) @ bits
+        eq = every[:, j]
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
@@ -131,10 +149,11 @@ class Passages:
             fit = (self.place[here] >= k * n) & (self.place[here] - k * n + self.window <= self.length[here])
             at = np.flatnonzero(fit)
             for part in np.array_split(at, max(1, len(at) // 50_000)):
-                p = self.ids[first[part][:, None] + np.arange(self.window)]
+                start, which = np.unique(first[part], return_inverse=True)
+                p = self.ids[start[:, None] + np.arange(self.window)]
                 begin = pos[part] - k * n - self.budget
                 span = np.clip(begin[:, None] + np.arange(self.window + 2 * self.budget), 0, len(w) - 1)
-                edits[part] = np.minimum(edits[part], myers(p, w[span]))
+                edits[part] = np.minimum(edits[part], myers(p, w[span], which))
         item = self.item[here]
         # exact check: hits that follow each other on one diagonal are one run of equal words
         order = np.lexsort((pos, here - pos, row))
@@ -175,18 +194,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text:
     out = None
     for b in range(blocks):
         block = small.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else small
-        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i").toLocalIterator()])
+        shared = spark.sparkContext.broadcast(Passages([(r.i, r.t) for r in block.orderBy("i").toLocalIterator()], window, budget))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = Passages(shared.value, window, budget)
             for whole in batches:
                 for at in range(0, len(whole), 1000):
                     batch = whole.slice(at, 1000)
-                    row, item, edits, longest = passages.find(batch.column(1).to_pylist())
+                    row, item, edits, longest = shared.value.find(batch.column(1).to_pylist())
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *[pa.array(x, pa.int64()) for x in (item, edits, longest)]], names=["d", "i", "edits", "run"])
 
         found = src.mapInArrow(run, schema)
+        if blocks > 1:
+            found = kept(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("d", "i").agg(F.min("edits").alias("edits"), F.max("run").alias("run"))
     return best.select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "edits", "run")

@@ -78,3 +78,12 @@ def test_nulls_empty_tables_and_long_texts(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "noise " * 50_000 + passage, 3), (3, passage, 4)], "doc_id long, text string, edits int")
     assert [(r.doc_id, r.item_id, r.edits, r.run) for r in leaks.find_leaks(docs, items).collect()] == [(3, 1, 0, 16)]
     assert leaks.find_leaks(docs.where("false"), items).count() == 0 and leaks.find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_masks_are_made_once_a_pattern():
+    rnd = np.random.default_rng(3)
+    p, t, which = rnd.integers(0, 5, (4, 12)), rnd.integers(-1, 6, (50, 16)), rnd.integers(0, 4, 50)
+    keys, masks, base = leaks.match_masks(p)
+    assert len(keys) == sum(len(set(x)) for x in p.tolist()) and base > p.max()
+    assert all(bin(int(m)).count("1") == p[k // base].tolist().count(k % base - 1) for k, m in zip(keys.tolist(), masks))
+    assert leaks.myers(p, t, which).tolist() == [distance(p[w].tolist(), x) for w, x in zip(which, t.tolist())]
