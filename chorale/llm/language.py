@@ -7,9 +7,13 @@ regression per language against the rest is solved in it. As the kernel against
 linear in a snippet's grams, the trained machine is one table of gram weights, and a batch of
 snippets is scored as the product of its sparse presence matrix with that table.
 
-The machine is fitted on a bounded sample of labelled texts (``TEXTS_PER_LANGUAGE`` a language, drawn
-by a hash of the id); labels that the first fit contradicts are dropped and it is fitted again.
-Everything else runs over all rows, with nothing shuffled.
+The machine knows the languages that the labels name. It is fitted on a bounded sample: of
+``TEXTS_PER_LANGUAGE`` labelled texts a label, drawn by a hash of the id, at most
+``SNIPPETS_PER_LANGUAGE`` runs of about ten words, drawn by a hash from the whole texts. A label whose
+texts the other labels explain as well (a language that a backend only imagined) is no language here;
+single labels that the fit contradicts are dropped and it is fitted again. The halves kept out of these
+fits also give the scale of probabilities, the lead that a segment's language needs and the score below
+which a text is in none of the languages. Everything else runs over all rows, with nothing shuffled.
 """
 
 from __future__ import annotations
@@ -22,23 +26,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import LANGUAGES, canonical_language
+from ..functions.labels import canonical_language
 
-CODES = tuple(LANGUAGES)
 GRAM_BITS = 17
 TEXTS_PER_LANGUAGE = 400
+SNIPPETS_PER_LANGUAGE = 1200
+#: Least number of labelled texts of a language that is fitted; more labels than ``MAX_LABELS`` are an error.
+MIN_TEXTS, MAX_LABELS = 3, 200
+#: Snippets a label, and landmarks, by which labels are told from languages.
+PROBE, PROBE_LANDMARKS = 160, 24
+GENUINE = 0.3  # share of its snippets by which a label is a language; half of the labels of one may be wrong
 LANDMARKS = 48
 CHUNK = 10
 RIDGE = 0.3
 #: Words of a text below which no language is assigned, and of a segment.
 TEXT_WORDS, SEGMENT_WORDS = 20, 4
-#: How far a segment's score for another language must lie above that for the text's (targets are 1 and -1).
-SEGMENT_GAP = 0.35
+#: Share of segments in another language than their text's that the lead is chosen for, as in songs that change language.
+FOREIGN = 0.1
+#: Share of texts in a known language that may be taken for none.
+FALSE_NONE = 1e-3
 _WORD = re.compile(r"[^\W_]+")
-_SYLLABLE = re.compile(r"(?:(?:d[aou]+|l[aiou]+|n[ao]+|b[ao]+|p[aou]+|t[ua]+|r[ao]+|sh?a|sh[ou]+|wh?[oa]+|y[eao]+|h[aeou]+|[aeou]+|m+)[hy]*|hm+|yeah+|woo+h?|ラ|ナ|ララ|ナナ|ла|на|о+|а+х*|эй)+")
-
-_PRIME = np.uint64(0x100000001B3)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_STRETCHED = re.compile(r"(.)\1+")
+_UNIT = re.compile(r"(.{1,3}?)\1*|.{4}")
 
 
 def words(text: str | None) -> list[str]:
@@ -46,8 +55,13 @@ def words(text: str | None) -> list[str]:
 
 
 def sung(ws: Sequence[str]) -> bool:
-    """Whether words are sung syllables only: each one a chain of them, and hardly varied."""
-    return len(set(ws)) <= max(2, len(ws) // 3) and all(_SYLLABLE.fullmatch(w) for w in ws)
+    """Whether words are sung syllables only: up to three short ones, stretched or repeated, that recur."""
+    own = set(ws)
+    return len(own) <= min(3, max(2, len(ws) // 3)) and all(_UNIT.fullmatch(_STRETCHED.sub(r"\1", w)) for w in own)
+
+
+_PRIME = np.uint64(0x100000001B3)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(snippets: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +97,14 @@ def softmax(s: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """Gram weights per language, a bias and the scale that makes scores log-odds."""
+    """Gram weights per language, a bias, the scale that makes scores log-odds, and what was calibrated.
+
+    ``gap`` is how far a segment's score for another language must lie above that for the text's, ``floor``
+    the mean score below which a text is in no known language (targets are 1 and -1).
+    """
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, scale: float, codes: Sequence[str]):
-        self.codes, self.bias, self.scale = tuple(codes), bias, scale
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, scale: float, codes: Sequence[str], gap: float, floor: float):
+        self.codes, self.bias, self.scale, self.gap, self.floor = tuple(codes), bias, scale, gap, floor
         used = np.flatnonzero(np.abs(weights).sum(1) > 0)
         self.at = np.zeros(1 << GRAM_BITS, np.int32)  # gram -> row of the table; row 0 is no gram's
         self.at[used] = np.arange(1, len(used) + 1)
@@ -104,64 +122,131 @@ class Machine:
     def probabilities(self, snippets: Sequence[str]) -> np.ndarray:
         return softmax(self.scores(snippets))
 
+    def save(self, path: str) -> None:
+        """One file, so that a fitted machine may serve other tables and days."""
+        np.savez_compressed(path, at=self.at, table=self.table, bias=self.bias, codes=np.array(self.codes), numbers=np.array([self.scale, self.gap, self.floor]))
+
+    @classmethod
+    def load(cls, path: str) -> Machine:
+        out = cls.__new__(cls)
+        with np.load(path) as z:
+            out.at, out.table, out.bias, out.codes = z["at"], z["table"], z["bias"], tuple(z["codes"].tolist())
+            out.scale, out.gap, out.floor = z["numbers"].tolist()
+        return out
+
+
+class Space:
+    """The Nyström space of landmark snippets."""
+
+    def __init__(self, landmarks: list[str]):
+        row, f = grams(landmarks)
+        self.used, back = np.unique(f, return_inverse=True)
+        self.at = np.zeros(1 << GRAM_BITS, np.int64)
+        self.at[self.used] = np.arange(1, len(self.used) + 1)
+        m = len(landmarks)
+        self.span = np.zeros((len(self.used) + 1, m), np.float32)  # presence of grams in landmarks, scaled
+        self.span[back + 1, row] = 1.0
+        self.span /= np.sqrt(np.maximum(np.bincount(row, minlength=m), 1))[None, :]
+        k = self.kernel(landmarks).astype(np.float64)
+        value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-6 * np.eye(m))
+        self.root = vector / np.sqrt(np.maximum(value, 1e-6))
+
+    def kernel(self, snippets: list[str]) -> np.ndarray:
+        parts = []
+        for a in range(0, len(snippets), 64):
+            part = snippets[a : a + 64]
+            row, f = grams(part)
+            parts.append(_product(row, self.at[f], self.span, len(part)))
+        return np.concatenate(parts)
+
+    def features(self, snippets: list[str]) -> np.ndarray:
+        """Features of all snippets, and a constant."""
+        out = np.ones((len(snippets), self.root.shape[1] + 1))
+        for a in range(0, len(snippets), 4096):
+            out[a : a + 4096, :-1] = self.kernel(snippets[a : a + 4096]) @ self.root
+        return out
 
-def _features(snippets: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nyström features of all snippets (and a constant), and the map from weights on them to gram weights."""
-    lrow, lf = grams([snippets[i] for i in chosen])
-    used, back = np.unique(lf, return_inverse=True)
-    at = np.zeros(1 << GRAM_BITS, np.int64)
-    at[used] = np.arange(1, len(used) + 1)
-    m = len(chosen)
-    span = np.zeros((len(used) + 1, m), np.float32)  # presence of grams in landmarks, scaled
-    span[back + 1, lrow] = 1.0
-    span /= np.sqrt(np.maximum(np.bincount(lrow, minlength=m), 1))[None, :]
-    parts = []
-    for a in range(0, len(snippets), 64):
-        part = snippets[a : a + 64]
-        row, f = grams(part)
-        parts.append(_product(row, at[f], span, len(part)))
-    k = np.concatenate(parts).astype(np.float64)
-    kmm = k[chosen]
-    value, vector = np.linalg.eigh((kmm + kmm.T) / 2 + 1e-6 * np.eye(m))
-    root = vector / np.sqrt(np.maximum(value, 1e-6))
-    back_map = np.zeros((1 << GRAM_BITS, m), np.float32)
-    back_map[used] = span[1:] @ root.astype(np.float32)
-    return np.hstack([k @ root, np.ones((len(k), 1))]), back_map
-
-
-def _ridge(phi: np.ndarray, y: np.ndarray, classes: int, ridge: float) -> np.ndarray:
-    """One machine against the rest for every class, classes weighted alike."""
-    weight = (1.0 / np.maximum(np.bincount(y, minlength=classes), 1))[y] * len(y) / classes
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """Gram weights of weights on the features."""
+        out = np.zeros((1 << GRAM_BITS, w.shape[1]), np.float32)
+        out[self.used] = self.span[1:] @ (self.root @ w).astype(np.float32)
+        return out
+
+
+def _ridge(phi: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float) -> np.ndarray:
+    """One machine against the rest for every class; ``share`` is the weight of each class as a whole."""
+    classes = len(share)
+    weight = (share / np.maximum(np.bincount(y, minlength=classes), 1))[y] * len(y) / share.sum()
     target = np.where(y[:, None] == np.arange(classes)[None, :], 1.0, -1.0)
     lhs = (phi * weight[:, None]).T @ phi + ridge * np.diag([*[1.0] * (phi.shape[1] - 1), 1e-6])
     return np.linalg.solve(lhs, (phi * weight[:, None]).T @ target)
 
 
-def fit(snippets: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 7, rounds: int = 4) -> Machine:
-    """The machine of labelled snippets.
+def _held(phi: np.ndarray, y: np.ndarray, half: np.ndarray, keep: np.ndarray, share: np.ndarray, ridge: float, also: np.ndarray | None = None) -> list[np.ndarray]:
+    """Scores of every snippet (and of rows ``also``, in the same halves) by the machine fitted on the other half."""
+    out = [np.zeros((len(y), len(share))) for _ in range(1 + (also is not None))]
+    for side in (0, 1):
+        some = keep & (half != side)
+        if some.any():
+            w = _ridge(phi[some], y[some], share, ridge)
+            for o, x in zip(out, (phi, also)):
+                o[half == side] = x[half == side] @ w
+    return out
+
 
-    Labels may be wrong: in each round machines fitted on either half of the snippets judge the other
-    half, and snippets that they give to another language are left out of the next round. Snippets
-    without words are left out. At least two languages must be labelled.
+def halves(owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """0 or 1 for every snippet: the texts of each class by turns."""
+    pair, back = np.unique(np.stack([y, owner], 1), axis=0, return_inverse=True)
+    first = np.searchsorted(pair[:, 0], pair[:, 0])
+    return ((np.arange(len(pair)) - first) & 1)[back.reshape(-1)]
+
+
+def genuine(snippets: list[str], y: np.ndarray, owner: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Classes that are languages: ``GENUINE`` of their snippets are known as theirs by a machine that hasn't seen their texts.
+
+    Classes with more texts weigh more (by the root), so one that holds texts of larger ones only has
+    nothing that speaks for it.
+    """
+    some = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:PROBE] for c in range(len(share))])
+    part, z, half = [snippets[i] for i in some], y[some], halves(owner[some], y[some])
+    marks = np.concatenate([np.flatnonzero(z == c)[:PROBE_LANDMARKS] for c in range(len(share))])
+    phi = Space([part[i] for i in marks]).features(part)
+    held = _held(phi, z, half, np.ones(len(z), bool), np.sqrt(share), RIDGE)[0]
+    right = np.bincount(z[held.argmax(1) == z], minlength=len(share))
+    return np.flatnonzero(right >= np.maximum(GENUINE * np.bincount(z, minlength=len(share)), 1))
+
+
+def fit(snippets: list[str], labels: list[str], owners: Sequence[int] | None = None, texts: dict[str, int] | None = None, landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 7, rounds: int = 4) -> Machine:
+    """The machine of labelled snippets; ``owners`` numbers their texts, ``texts`` counts the labelled texts.
+
+    Labels may be wrong: in each round machines fitted on the snippets of either half of the texts judge
+    the other half, and snippets that they give to another language are left out of the next round.
+    Snippets without words are left out. At least two languages must be labelled.
     """
-    pairs = [(s, x) for s, x in zip(snippets, labels) if s]
-    codes = sorted({x for _, x in pairs})
+    owners = range(len(snippets)) if owners is None else owners
+    rows = [(s, x, o) for s, x, o in zip(snippets, labels, owners) if s]
+    codes = sorted({x for _, x, _ in rows})
     if len(codes) < 2:
         raise ValueError("labelled snippets of at least two languages are needed")
-    n = len(codes)
-    snippets = [s for s, _ in pairs]
-    y = np.array([codes.index(x) for _, x in pairs])
+    snippets, owner = [s for s, _, _ in rows], np.array([o for _, _, o in rows], np.int64)
+    y = np.array([codes.index(x) for _, x, _ in rows])
     rng = np.random.default_rng(seed)
+    share = np.array([float((texts or {}).get(c, 0) or len(set(owner[y == i].tolist()))) for i, c in enumerate(codes)])
+    real = genuine(snippets, y, owner, share, rng)
+    if len(real) >= 2 and len(real) < len(codes):
+        of = np.isin(y, real)
+        snippets, owner, y = [s for s, ok in zip(snippets, of) if ok], owner[of], np.searchsorted(real, y[of])
+        codes = [codes[c] for c in real]
+    n = len(codes)
+    even = np.ones(n)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:landmarks] for c in range(n)])
-    phi, back_map = _features(snippets, chosen)
-    half = rng.integers(0, 2, len(y))
+    space = Space([snippets[i] for i in chosen])
+    phi = space.features(snippets)
+    half = halves(owner, y)
     keep = np.ones(len(y), bool)
     held = np.zeros((len(y), n))
     for r in range(rounds):
-        for side in (0, 1):
-            some = keep & (half != side)
-            if some.any():
-                held[half == side] = phi[half == side] @ _ridge(phi[some], y[some], n, ridge * (10 if r == 0 else 1))
+        held = _held(phi, y, half, keep, even, ridge * (10 if r == 0 else 1))[0]
         now = held.argmax(1) == y
         now |= np.isin(y, np.flatnonzero(np.bincount(y[now], minlength=n) < 4))  # too few to judge
         if (now == keep).all():
@@ -172,8 +257,36 @@ def fit(snippets: list[str], labels: list[str], landmarks: int = LANDMARKS, ridg
         z = held[keep] * scale
         z = z - z.max(1, keepdims=True)
         losses.append((-(z[np.arange(len(z)), y[keep]] - np.log(np.exp(z).sum(1))).mean(), scale))
-    w = _ridge(phi[keep], y[keep], n, ridge)
-    return Machine(back_map @ w[:-1].astype(np.float32), w[-1].astype(np.float32), float(min(losses)[1]), codes)
+    w = _ridge(phi[keep], y[keep], even, ridge)
+    gap, floor = _calibrate(space, snippets, phi, y, owner, half, keep, ridge, share[real] if len(share) != n else share)
+    return Machine(space.weights(w[:-1]), w[-1].astype(np.float32), float(min(losses)[1]), codes, gap, floor)
+
+
+def _calibrate(space: Space, snippets: list[str], phi: np.ndarray, y: np.ndarray, owner: np.ndarray, half: np.ndarray, keep: np.ndarray, ridge: float, share: np.ndarray) -> tuple[float, float]:
+    """Lead of segments and floor of texts, from scores by machines that haven't seen the text.
+
+    Segments are played by the first half of each snippet: in a text of its own language, and in one of
+    the most frequent other language. The lead is the one with the fewest errors if ``FOREIGN`` of all
+    segments are in another language than their text. (Some of the former are foreign in truth, and lead
+    by as much as the latter; that doesn't move the place with the fewest errors.)
+    """
+    every = np.arange(len(y))
+    short = space.features([" ".join(x[: max(1, len(x) // 2)]) for x in (s.split(" ") for s in snippets)])
+    held, brief = _held(phi, y, half, keep, np.ones(len(share)), ridge, short)
+    own = brief[every, y]
+    other = brief.copy()
+    other[every, y] = -np.inf
+    rank = np.argsort(-share, kind="stable")
+    host = np.where(y == rank[0], rank[1], rank[0])
+    at_home, abroad = np.sort((other.max(1) - own)[keep]), np.sort(np.where(own > other.max(1), own - brief[every, host], -1.0)[keep])
+    tried = np.arange(0, 2, 0.01)
+    false = (len(at_home) - np.searchsorted(at_home, tried, "left")) / max(1, len(at_home))
+    missed = np.searchsorted(abroad, tried, "left") / max(1, len(abroad))
+    gap = float(tried[((1 - FOREIGN) * false + FOREIGN * missed).argmin()])
+    _, text, size = np.unique(owner[keep], return_inverse=True, return_counts=True)
+    mean = np.bincount(text, held[every, y][keep]) / size
+    floor = float(np.quantile(mean, FALSE_NONE, method="lower")) if len(mean) else -1.0
+    return gap, floor
 
 
 def chunks(ws: list[str], size: int = CHUNK) -> list[list[str]]:
@@ -183,26 +296,52 @@ def chunks(ws: list[str], size: int = CHUNK) -> list[list[str]]:
     return [ws[a:z] for a, z in zip(cuts, cuts[1:]) if z > a]
 
 
-def train(df: DataFrame, key: str = "result_id", text: str = "full_text", label: str = "detected_language", texts: int = TEXTS_PER_LANGUAGE) -> Machine:
-    """A machine from at most ``texts`` labelled texts of each language."""
-    src = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), canonical_language(F.col(label)).alias("l")).where(F.col("l").isin(*CODES) & (F.length("t") >= 40))
-    some = src.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= texts).orderBy("l", "r")
-    snippets, labels = [], []
-    for row in some.select("t", "l").collect():
-        parts = [c for c in chunks(words(row["t"])) if not sung(c)]
-        for c in parts[:: max(1, len(parts) // 2)][:3]:
-            snippets.append(" ".join(c))
-            labels.append(row["l"])
-    return fit(snippets, labels)
+def sample(df: DataFrame, key: str, text: str, label: str, texts: int = TEXTS_PER_LANGUAGE, snippets: int = SNIPPETS_PER_LANGUAGE) -> tuple[DataFrame, dict[str, int]]:
+    """Labelled snippets (l, h: hash of the text's id, s), and the number of labelled texts of each label.
+
+    Ids and labels are read first, without the texts; then the texts of the drawn ids only go on.
+    """
+    named = df.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), canonical_language(F.col(f"`{label}`")).alias("l")).where("l IS NOT NULL").distinct()
+    top = named.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "l").limit(MAX_LABELS + 1).collect()
+    if len(top) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels of {MIN_TEXTS} texts")
+    count = {r["l"]: r["n"] for r in top}
+    drawn = named.where(F.col("l").isin(*count)).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= texts)
+    whole = df.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+    # at most MAX_LABELS * texts rows of a hash and a label
+    whole = whole.join(F.broadcast(drawn.select("h", "l")), "h").select("l", "h", "t")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, parts = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                for c in chunks(words(t)):
+                    if not sung(c):
+                        row.append(i)
+                        parts.append(" ".join(c))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(parts, pa.string())], names=["l", "h", "s"])
+
+    parts = whole.mapInArrow(split, "l string, h bigint, s string").distinct()
+    turn = Window.partitionBy("l").orderBy(F.xxhash64("h", "s"), "h", "s")
+    return parts.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= snippets).drop("r"), count
+
+
+def train(df: DataFrame, key: str = "result_id", text: str = "full_text", label: str = "detected_language", texts: int = TEXTS_PER_LANGUAGE, snippets: int = SNIPPETS_PER_LANGUAGE) -> Machine:
+    """A machine from at most ``texts`` labelled texts and ``snippets`` snippets of each label."""
+    rows, count = sample(df, key, text, label, texts, snippets)
+    got = sorted(tuple(r) for r in rows.collect())  # at most MAX_LABELS * snippets short strings
+    return fit([s for _, _, s in got], [x for x, _, _ in got], [h for _, h, _ in got], count)
 
 
 def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Column | None = None, text_words: int = TEXT_WORDS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Languages of texts and of segments in another language: key, seg_no, lang, confidence.
 
     ``seg_no`` -1 is the text: the language of most of its words, judged in runs of about ten words
-    that vote with their probabilities; the confidence is the language's share of the votes. Other rows
-    are the segments (ARRAY<STRING>, numbered from 0) whose own language leads the text's by
-    ``SEGMENT_GAP``; their confidence is its probability.
+    that vote with their probabilities; the confidence is the language's share of the votes. It is NULL,
+    with a confidence of 0, if the runs that vote for it score below the machine's floor: the text is in
+    none of the languages, or in no language at all. Other rows are the segments (ARRAY<STRING>, numbered
+    from 0) whose own language leads the text's by the machine's gap; their confidence is its probability.
 
     Defined cases: texts of fewer than ``text_words`` words (NULL and empty ones too) give no row, nor do
     their segments; sung syllables don't vote unless there is nothing else; NULL segments and such of
@@ -216,7 +355,7 @@ def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Co
         m = shared.value
         for whole in batches:
             for b in (whole.slice(a, 400) for a in range(0, len(whole), 400)):
-                known: dict[str, int] = {}  # every distinct snippet is scored once
+                seen: dict[str, int] = {}  # every distinct snippet is scored once
                 which, owner, number, vote = [], [], [], []
                 for i, (t, segs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     ws = words(t)
@@ -228,19 +367,19 @@ def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Co
                     runs = [c for c in own if c] if same else chunks(ws)
                     voting = [c for c in runs if not sung(c)]
                     for c in voting or runs:
-                        which.append(known.setdefault(" ".join(c), len(known)))
+                        which.append(seen.setdefault(" ".join(c), len(seen)))
                         owner.append(i)
                         number.append(-1)
                         vote.append(len(c))
                     for j, c in enumerate(own):
                         if len(c) >= segment_words and not sung(c):
-                            which.append(known.setdefault(" ".join(c), len(known)))
+                            which.append(seen.setdefault(" ".join(c), len(seen)))
                             owner.append(i)
                             number.append(j)
                             vote.append(0)
                 if not which:
                     continue
-                score = m.scores(list(known))[which]
+                score = m.scores(list(seen))[which]
                 p = softmax(score)
                 o, no, w = np.array(owner), np.array(number), np.array(vote, float)
                 best = p.argmax(1)
@@ -250,14 +389,19 @@ def languages(df: DataFrame, machine: Machine, key: str, text: str, segments: Co
                 total = np.bincount(o[text_part], w[text_part], len(b))
                 main = votes.argmax(1)
                 has = np.flatnonzero(total > 0)
+                # how well the runs that vote for the language fit it
+                for_main = p[text_part, main[o[text_part]]] * w[text_part]
+                fits = np.bincount(o[text_part], for_main * score[text_part, main[o[text_part]]], len(b)) / np.maximum(np.bincount(o[text_part], for_main, len(b)), 1e-9)
+                none = fits < m.floor * m.scale
                 # a short segment speaks for another language only against the song's own
                 every = np.arange(len(p))
-                other = ~text_part & (best != main[o]) & (score[every, best] - score[every, main[o]] >= SEGMENT_GAP * m.scale)
+                other = ~text_part & (best != main[o]) & (score[every, best] - score[every, main[o]] >= m.gap * m.scale) & ~none[o]
                 rows = np.append(has, o[other])
                 lang = np.append(main[has], best[other])
-                conf = np.append(votes[has, main[has]] / total[has], p[np.flatnonzero(other), best[other]])
+                known = np.append(~none[has], np.ones(other.sum(), bool))
+                conf = np.where(known, np.append(votes[has, main[has]] / total[has], p[np.flatnonzero(other), best[other]]), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(np.append(np.full(len(has), -1), no[other]), pa.int64()), pa.array([m.codes[x] for x in lang], pa.string()), pa.array(conf, pa.float64())],
+                    [b.column(0).take(pa.array(rows)), pa.array(np.append(np.full(len(has), -1), no[other]), pa.int64()), pa.array([m.codes[x] if k else None for x, k in zip(lang, known)], pa.string()), pa.array(conf, pa.float64())],
                     names=["k", "seg_no", "lang", "confidence"],
                 )
 

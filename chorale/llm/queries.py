@@ -86,9 +86,14 @@ def _result_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("k.result_id", "k.label", "seg_no", "lang", "confidence")
 
 
+#: The languages that the statement of problem 2 lists (fixed values).
+STATED = ("en", "es", "pt", "fr", "de", "it", "nl", "sv", "pl", "tr", "ru", "ja")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose label is missing or wrong, and segments in another language, for the languages of the statement."""
     wrong = (F.col("seg_no") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
-    return _result_languages(spark, sf_dir).where(wrong).select("result_id", "seg_no", "lang").distinct()
+    return _result_languages(spark, sf_dir).where(wrong & F.col("lang").isin(*STATED)).select("result_id", "seg_no", "lang").distinct()
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,48 @@ def test_training_on_the_tables_names_languages(spark):
     p = m.probabilities([" ".join(language.words(x.text)) for x in items])
     right = sum(m.codes[k] == x.lang for k, x in zip(p.argmax(1), items))
     assert right / len(items) > 0.97
+
+
+def test_a_label_without_a_language_of_its_own_is_none():
+    rnd = random.Random(4)
+    rows = [(sentence(rnd, c), c, i) for i, c in enumerate(c for c in ("en", "es", "ru") for _ in range(80))]
+    rows += [(sentence(rnd, "en"), "cy", 1000 + i) for i in range(20)]
+    m = language.fit([t for t, _, _ in rows], [c for _, c, _ in rows], [i for _, _, i in rows])
+    assert m.codes == ("en", "es", "ru")
+    many = language.fit([t for t, _, _ in rows], [c for _, c, _ in rows], [i for _, _, i in rows], {"en": 5000, "es": 2000, "ru": 80, "cy": 20})
+    assert many.codes == ("en", "es", "ru")
+
+
+def test_a_text_in_no_known_language_has_none(spark, machine):
+    rnd = random.Random(5)
+    greek = "φως ποτάμι σπίτι χέρια παράθυρο νύχτα πρωί πάντα ποτέ δρόμος".split()
+    rows = [(1, " ".join(rnd.choices(greek, k=60))), (2, sentence(rnd, "en", 40)), (3, " ".join(rnd.choices(greek, k=30)) + " " + sentence(rnd, "es", 60))]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: (r.lang, r.confidence) for r in language.languages(df, machine, "k", "t").collect()}
+    assert got[1] == (None, 0.0) and got[2][0] == "en" and got[3][0] == "es"
+
+
+def test_a_machine_is_kept_in_a_file(machine, tmp_path):
+    machine.save(str(tmp_path / "m.npz"))
+    again = language.Machine.load(str(tmp_path / "m.npz"))
+    texts = ["la casa de la luz", "the night never ends"]
+    assert again.codes == machine.codes and again.gap == machine.gap and again.floor == machine.floor
+    assert (again.probabilities(texts) == machine.probabilities(texts)).all()
+
+
+def test_the_sample_is_bounded_and_takes_whole_texts(spark):
+    rnd = random.Random(6)
+    rows = [(i, sentence(rnd, "en", 400), "English") for i in range(30)] + [(100 + i, sentence(rnd, "es", 400), "es") for i in range(5)] + [(200, "short", "de"), (201, None, "es"), (202, "x " * 30, None)]
+    df = spark.createDataFrame(rows + rows[:3], "result_id long, full_text string, detected_language string")
+    parts, count = language.sample(df, "result_id", "full_text", "detected_language", texts=10, snippets=70)
+    got = parts.collect()
+    assert count == {"en": 30, "es": 6} and sum(r.l == "en" for r in got) == 70 and len({r.h for r in got if r.l == "en"}) <= 10
+    whole, _ = language.sample(df, "result_id", "full_text", "detected_language", texts=10, snippets=10_000)
+    assert sorted(r.s for r in whole.where("l = 'es'").collect()) == sorted(" ".join(c) for _, t, x in rows if x == "es" and t for c in language.chunks(language.words(t)))
+    with pytest.raises(ValueError, match="two languages"):
+        language.train(df.where("result_id < 100"))
+
+
+def test_sung_syllables_need_no_list():
+    assert language.sung(["lalala", "laaa", "laaa", "lalala"])
+    assert not language.sung("over the wires my mother folded over the wires my mother folded".split())
