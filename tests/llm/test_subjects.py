@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,21 +95,88 @@ def test_runs_of_short_lines_are_one_passage():
     assert p.words.tolist() == [4, 5, 1, 1, 1] and p.lists().to_pylist()[0] == ["one", "two", "three", "four"]
 
 
-def test_sets_are_those_of_unbounded_growth(spark, monkeypatch):
+def brute_growth(train, least):
+    """Every body that ``grow`` describes, by plain recursion over sets."""
+    order = {}
+    for _, _, x in train:
+        for w in set(x):
+            order[w] = order.get(w, 0) + 1
+    rank = sorted(order, key=lambda w: (order[w], w))
+
+    def counts(body):
+        rows = [(d, s) for d, s, x in train if set(body) <= set(x)]
+        docs = {s: len({d for d, z in rows if z == s}) for s in "ab"}
+        return {s: sum(z == s for _, z in rows) for s in "ab"}, docs
+
+    telling = []
+    for w in rank:
+        passages, docs = counts([w])
+        if max(docs.values()) >= subjects.MIN_DOCS and max(docs.values()) >= subjects.TELLING * sum(docs.values()) and max(passages.values()) >= least:
+            telling.append(w)
+    found = set()
+
+    def extend(body, at, sure):
+        for i in range(at, len(telling)):
+            new = [*body, telling[i]]
+            passages, docs = counts(new)
+            total, more = sum(docs.values()), False
+            conf = {s: docs[s] / (total + subjects.UNSEEN_DOCS * len(new)) for s in "ab"}
+            for s in "ab":
+                if passages[s] >= least and docs[s] >= subjects.MIN_DOCS and (sure is None or conf[s] >= sure[s] + subjects.GAIN):
+                    if docs[s] >= subjects.MIN_CONFIDENCE * total:
+                        found.add((tuple(new), s, passages[s], docs[s], total))
+                    more |= docs[s] / (docs[s] + subjects.UNSEEN_DOCS * (len(new) + 1)) >= conf[s] + subjects.GAIN
+            if more:
+                extend(new, i + 1, conf)
+
+    extend([], 0, None)
+    return found
+
+
+def hidden_conjunction(rnd, n):
+    """Documents of b hold some of five words, documents of a often all of them."""
+    out = []
+    for i in range(n):
+        s = "ab"[i // 3 % 2]
+        some = list("klmno") if s == "a" and rnd.random() < 0.7 else rnd.sample("klmno", rnd.randint(2, 4))
+        out.append((i // 3, s, some + rnd.sample("pqrst", rnd.randint(0, 3))))
+    return out
+
+
+def test_bodies_are_those_of_plain_recursion(spark):
     from pyspark.ml.fpm import FPGrowth
 
-    rnd = random.Random(4)
-    train = [(i // 3, "ab"[i // 3 % 2], rnd.sample("klmnopqrstuvw", rnd.randint(0, 9))) for i in range(180)]
-    df = spark.createDataFrame(train, "d long, s string, items array<string>").repartition(3, "d")
-    transactions = spark.createDataFrame([(["=" + s, *x],) for _, s, x in train], "items array<string>")
-    sets = FPGrowth(itemsCol="items", minSupport=8.5 / 180, minConfidence=1.0).fit(transactions).freqItemsets.collect()
-    want = {(frozenset(r["items"]), r["freq"]) for r in sets if 2 <= len(r["items"]) <= 3 and sum(x[0] == "=" for x in r["items"]) == 1}
-    for at_once in (1, 50, 1 << 20):
-        monkeypatch.setattr(subjects, "PAIRS_AT_ONCE", at_once)
-        rows = subjects.frequent_sets(df, 9).collect()
-        assert {(frozenset(["=" + r.s, *r.body]), r.passages) for r in rows if r.passages >= 9} == want
-        assert len({(r.s, *r.body) for r in rows}) == len(rows)
-        assert all(r.docs == len({d for d, s, x in train if s == r.s and set(r.body) <= set(x)}) for r in rows)
+    for seed, n in ((4, 180), (5, 900)):
+        train = hidden_conjunction(random.Random(seed), n)
+        df = spark.createDataFrame(train, "d long, s string, items array<string>").repartition(3)
+        rows = subjects.grow(df, 9).collect()
+        got = {(tuple(r.body), r.s, r.passages, r.docs, r["all"]) for r in rows}
+        assert got == brute_growth(train, 9) and len(got) == len(rows) and got
+        # supports are those of the library's own unbounded growth
+        sets = FPGrowth(itemsCol="items", minSupport=8.5 / n, minConfidence=1.0).fit(spark.createDataFrame([(["=" + s, *x],) for _, s, x in train], "items array<string>")).freqItemsets.collect()
+        support = {frozenset(r["items"]): r["freq"] for r in sets}
+        assert all(support[frozenset(["=" + s, *body])] == k for body, s, k, _, _ in got)
+    assert max(len(body) for body, *_ in got) > 2
+
+
+def test_rules_of_several_words_match_whole():
+    r = subjects.Rules(["a", "b"], {("x", "y", "z"): {0: 2.0}, ("y", "z"): {1: 1.0}, ("z",): {1: 0.5}})
+    p = subjects.Passages(["x y.", "z y x.", "y z.", "z.", "x z."])
+    want = [[0, 0], [2, 1.5], [0, 1.5], [0, 0.5], [0, 0.5]]
+    assert r.evidence(p).tolist() == want
+    for at_once in (1, 2):
+        subjects.AT_ONCE, old = at_once, subjects.AT_ONCE
+        try:
+            assert r.evidence(p).tolist() == want
+        finally:
+            subjects.AT_ONCE = old
+    again = subjects.Passages.of_lists(p.text, p.words, p.lists())
+    assert r.evidence(again).tolist() == want
+
+
+def test_redundant_bodies():
+    c = {(("x",), "a"): 0.8, (("x", "y"), "a"): 0.82, (("y", "z"), "a"): 0.7, (("x", "y", "z"), "a"): 0.84, (("x", "z"), "b"): 0.71}
+    assert set(subjects.irredundant(c)) == {(("x",), "a"), (("y", "z"), "a"), (("x", "z"), "b")}
 
 
 def test_pairs_beside_many_surer_words_give_rules(spark):
@@ -118,7 +186,7 @@ def test_pairs_beside_many_surer_words_give_rules(spark):
     areas = spark.createDataFrame([("a",), ("b",)], "subject string")
     rules = subjects.mine(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string"), areas)
     p, q = rules.index.get("p"), rules.index.get("q")
-    assert p is not None and q is not None and not rules.single[[p, q]].any()
+    assert p is not None and q is not None and not rules.weight[[p, q]].any()
     assert min(p, q) * len(rules.index) + max(p, q) in rules.keys
 
 
@@ -132,16 +200,33 @@ def test_too_many_subjects_are_an_error(spark, corpus):
 
 
 def test_the_calibrated_chance_decides():
-    # both lead by more than the uncalibrated cutoff; "weak" is right in half of the held-out documents
+    # "weak" is right in half of the held-out passages
     r = subjects.Rules(["a", "b"], {("weak",): {0: 4.0}, ("sure",): {0: 5.0}})
-    few = [f"{w} {i}." for w in ("weak", "sure") for i in range(40)]
-    r.calibrate(few, [{i % 2} for i in range(80)])
     p = subjects.Passages(["weak.", "sure.", "other."])
-    assert r.assign(p)[0].tolist() == [0, 0, -1]  # too few labels: the evidence alone
-    many = [f"{w} {i}." for w in ("weak", "sure") for i in range(200)]
-    r.calibrate(many, [{i % 2} if i < 200 else {0} for i in range(400)])
+    r.calibrate(np.array([4.0, 5.0]), np.array([40.0, 40.0]), np.array([20.0, 40.0]))
+    assert r.assign(p)[0].tolist() == [0, 0, -1]  # too few: leads are taken as log-odds
+    r.calibrate(np.array([4.0, 5.0]), np.array([200.0, 200.0]), np.array([100.0, 200.0]))
     subject, chance = r.assign(p)
     assert subject.tolist() == [-1, 0, -1] and chance[0] == pytest.approx(0.5, abs=0.05) and chance[1] == 1
+    assert r.assign(p, least=0.4)[0].tolist() == [0, 0, -1]
     low = subjects.Rules(["a", "b"], {("sure",): {0: 1.0}})
-    low.calibrate(many[200:], [{0}] * 200)
-    assert low.assign(p)[0].tolist() == [-1, 0, -1]  # below the uncalibrated cutoff
+    assert low.assign(p)[0].tolist() == [-1, -1, -1]
+
+
+def test_the_least_chance_is_chosen_on_held_out_documents(spark):
+    # passages with "weak" are about nothing: documents with a few of them have no further subject
+    weak = [(i, 0, ["b"] if i % 3 else ["a"], 4, ["weak"]) for i in range(150)]
+    sure = [(i, 0, ["b"], 6, ["sure"]) for i in range(150) for _ in range(2) if i % 3]
+    rules = subjects.Rules(["a", "b"], {("weak",): {0: 3.0}, ("sure",): {1: 4.0}})
+    held = spark.createDataFrame(weak + sure, "d long, h long, ss array<string>, words long, items array<string>")
+    subjects._tune(rules, held, 3)
+    assert rules.curve[1][0] < 0.4 and rules.least >= 0.5
+    assert rules.assign(subjects.Passages(["weak.", "sure."]))[0].tolist() == [-1, 1]
+
+
+def test_the_sample_of_passages_is_bounded(spark, corpus):
+    d, lab, areas, truth = corpus
+    rules = subjects.mine(d, lab, areas, train_passages=400)
+    got = {(r.doc_id, r.subject) for r in subjects.shares(d, rules).where(F.col("share") >= subjects.SHARE).collect()}
+    want = {(i, x) for i, xs in truth.items() for x in xs}
+    assert len(got & want) / len(want) > 0.9
