@@ -22,11 +22,18 @@ class Backend(Protocol):
 
 
 class Separator(Protocol):
+    """``rate`` is the rate of the loaded model, which its samples go in and come out at; None takes any."""
+
     name: str
     options: tuple[str, ...]
+    rate: int | None
 
     def load(self, model: str, **options: Any) -> None: ...
 
+    def decode(self, path: str, rate: int | None) -> tuple[Any, int]:
+        """Samples (frames, channels) of a file and their rate; the backend opens the formats that it knows."""
+        ...
+
     def separate(self, samples: Any, rate: int) -> dict[str, Any]:
         """Samples by stem name; 'vocals' is kept."""
         ...

@@ -6,6 +6,7 @@ from typing import Any
 
 import numpy as np
 
+from ..sources.audio import decode
 from .base import register
 
 CHARS_PER_SECOND = 15
@@ -35,11 +36,14 @@ class StubBackend:
 class StubSeparator:
     """The mean of the channels as vocals, the rest as accompaniment."""
 
-    name, options = "stub-separator", ()
+    name, options, rate = "stub-separator", (), None
 
     def load(self, model: str) -> None:
         pass
 
+    def decode(self, path: str, rate: int | None) -> tuple[np.ndarray, int]:
+        return decode(path, rate)
+
     def separate(self, samples: np.ndarray, rate: int) -> dict[str, np.ndarray]:
         vocals = samples.mean(1, keepdims=True).repeat(samples.shape[1], 1)
         return {"vocals": vocals, "accompaniment": samples - vocals}

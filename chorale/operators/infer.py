@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .. import backends
 from ..functions.paths import audio_type_of, isrc_of
 from ..schema import RESULT, SEPARATION
-from ..sources.audio import decode
+from ..sources.audio import decode as read_wav
+from ..sources.audio import resampled
 from ..sources.sinks import write_wav
 
 
@@ -66,7 +67,9 @@ def transcribe(df: DataFrame, backend: str, model: str, options: backends.Option
 def separate(df: DataFrame, backend: str, model: str, output: str, rate: int | None = None, tasks: int | None = None) -> DataFrame:
     """Writes the vocals of every file (``path``) beside it as ``output``; one row a file.
 
-    The time covers the separation only. Files are replaced in one step, so tasks may run twice.
+    The backend decodes the file, at its model's own rate if it has one (else at ``rate``, or the file's),
+    and the vocals are written at the rate that went in. The time covers the separation only. Files are
+    replaced in one step, so tasks may run twice.
     """
     src = df.select("path", isrc_of(F.col("path")).alias("isrc"))
     src = spread(src, tasks) if tasks else src
@@ -81,7 +84,10 @@ def separate(df: DataFrame, backend: str, model: str, output: str, rate: int | N
                 target = os.path.join(os.path.dirname(plain), output)
                 row: dict[str, Any] = {"isrc": isrc, "path": path, "output_path": target, "bytes": None, "separation_time": None, "error": None}
                 try:
-                    samples, have = decode(plain, rate)
+                    want = worker.rate or rate
+                    samples, have = worker.decode(plain, want)
+                    if want and have != want:
+                        samples, have = resampled(samples, have, want), want
                     began = time.perf_counter()
                     vocals = worker.separate(samples, have)["vocals"]
                     took = time.perf_counter() - began
@@ -94,6 +100,21 @@ def separate(df: DataFrame, backend: str, model: str, output: str, rate: int | N
     return src.mapInPandas(run, SEPARATION)
 
 
+def decoded(df: DataFrame) -> DataFrame:
+    """What is in the WAV files (``path``): isrc, frames, channels, rate, sum of the first channel's 16-bit samples."""
+    src = df.select(isrc_of(F.col("path")).alias("isrc"), "path")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for isrc, path in pdf.itertuples(index=False):
+                x, rate = read_wav(path.removeprefix("file:"))
+                rows.append((isrc, len(x), x.shape[1], rate, int((x[:, 0] * 32768).round().sum())))
+            yield pd.DataFrame(rows, columns=["isrc", "frames", "channels", "rate", "total"])
+
+    return src.mapInPandas(run, "isrc string, frames bigint, channels bigint, rate bigint, total bigint")
+
+
 def failures(results: DataFrame) -> DataFrame:
     return results.where("error IS NOT NULL")
 
