@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -32,11 +34,15 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
 
 
+_written: list[str] = []
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder made; that is
-    safe there because driver and executors are one machine.
+    Only where the session names none and runs on one machine (tests, a laptop) is a temporary folder made,
+    once a process, and removed when the process ends. On a cluster a missing name is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -46,7 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="chorale-")
+        if "local" not in _made:
+            _made["local"] = tempfile.mkdtemp(prefix="chorale-")
+            atexit.register(shutil.rmtree, _made["local"], ignore_errors=True)
+        named = _made["local"]
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -68,6 +77,22 @@ def kept(df: DataFrame) -> DataFrame:
     For tables that are read more than once and needn't keep their partitions: smaller than a
     checkpoint, and later readers take only the columns they need.
     """
-    at = f"{shared_dir(df.sparkSession)}/chorale-{uuid.uuid4().hex}"
+    at = folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def folder(spark: SparkSession, kind: str = "chorale") -> str:
+    """A new folder name in the shared folder, which ``sweep`` removes."""
+    at = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(at)
+    return at
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes the tables that this process wrote to the shared folder; to be called when no query needs them."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += at.getFileSystem(conf).delete(at, True)
+    return n

@@ -16,6 +16,8 @@ from ..schema import RECORD
 
 #: What makes a result the same piece of work.
 KEY = ("path", "model_name", "whisper_implementation")
+#: Partitions up to which an append reads only those that it writes to.
+MAX_TOUCHED = 500
 
 
 def stored(like: DataFrame, path: str) -> DataFrame:
@@ -29,29 +31,51 @@ def stored(like: DataFrame, path: str) -> DataFrame:
         return spark.createDataFrame([], like.schema)
 
 
-def append_once(df: DataFrame, path: str, key: Sequence[str] = KEY, partition_by: Sequence[str] = ("model_name", "whisper_implementation")) -> None:
+def append_once(df: DataFrame, path: str, key: Sequence[str] = KEY, partition_by: Sequence[str] = ("model_name", "whisper_implementation"), key_decides: bool = False) -> None:
     """Appends the rows whose key isn't stored yet; a rerun adds nothing. One row per key is kept.
 
-    Partitioned by few-valued columns, never by recording, which would make a folder per recording.
+    Partitioned by few-valued columns, never by recording, which would make a folder per recording. Where
+    they are part of the key, or follow from it (``key_decides``), keys are read from the partitions that
+    the new rows go to and from no others, so what an append reads doesn't grow with the table's age.
     """
-    old = stored(df, path).select(*key)
-    new = df.dropDuplicates(list(key))
-    same = [new[k].eqNullSafe(old[k]) for k in key]
+    table = stored(df, path)
+    if key_decides or set(partition_by) <= set(key):
+        touched = df.select(*partition_by).distinct().limit(MAX_TOUCHED + 1).collect()
+        if len(touched) <= MAX_TOUCHED:
+            some = F.lit(False)
+            for row in touched:
+                every = F.lit(True)
+                for c in partition_by:
+                    every = every & table[c].eqNullSafe(F.lit(row[c]))
+                some = some | every
+            table = table.where(some)
+    old = table.select(*key)
+    same = [df[k].eqNullSafe(old[k]) for k in key]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    new.join(old, cond, "left_anti").write.mode("append").partitionBy(*partition_by).parquet(path)
+    new = df.join(old, cond, "left_anti")
+    new.dropDuplicates(list(key)).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def record_json(df: DataFrame) -> DataFrame:
-    """One JSON object per record, identity dropped, nulls written out."""
-    fields = [F.col(f.name) for f in RECORD.fields]
+def record_json(df: DataFrame, identity: Sequence[str] = ()) -> DataFrame:
+    """One JSON object per record, nulls written out; of its identity only the columns named, in front."""
+    fields = [F.col(c) for c in (*identity, *RECORD.names)]
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def export_jsonl(df: DataFrame, path: str) -> None:
-    """Records as JSON lines; failed rows have no record and stay out."""
-    record_json(df.where("error IS NULL")).write.mode("overwrite").text(path)
+def export_jsonl(df: DataFrame, path: str, identity: Sequence[str] = (), by_recording: bool = False) -> None:
+    """Records as JSON lines; failed rows have no record and stay out.
+
+    ``identity=("isrc", "path")`` lets a line be led back to its file; ``by_recording`` writes a folder
+    ``isrc=...`` a recording, for corpora of a size where that many folders are wanted.
+    """
+    done = df.where("error IS NULL")
+    if by_recording:
+        lines = done.select("isrc", F.to_json(F.struct(*identity, *RECORD.names), {"ignoreNullFields": "false"}).alias("value"))
+        lines.repartition("isrc").write.mode("overwrite").partitionBy("isrc").text(path)
+    else:
+        record_json(done, identity).write.mode("overwrite").text(path)
 
 
 def write_wav(path: str, samples: np.ndarray, rate: int) -> int:

@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of ``placed`` that tell any two rows of a table apart.
+PLACE = ("at_time", "at_file", "at_row")
+
+
+def placed(df: DataFrame, time: str, *cols: str) -> DataFrame:
+    """Chosen columns of a table as it was read, with the place of each row: a time, its file and its number there."""
+    return df.select(*cols, F.col(time).alias("at_time"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+
+
 def hundredths(seconds: Column) -> Column:
     """Seconds as BIGINT hundredths, halves away from zero; NaN, infinite and absurd values are NULL."""
     return F.when(F.abs(seconds) < MAX_SECONDS, F.round(seconds * 100, 0).cast("bigint"))

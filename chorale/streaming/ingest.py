@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import audio_type_of, isrc_of
+from ..sources.audio import FILES
 from ..sources.sinks import append_once
 
 
 def new_audio(spark: SparkSession, root: str) -> DataFrame:
     """A stream of the audio files under the root that earlier runs haven't seen; bytes are not read."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", "*.{wav,mp3}").load(f"{root}/*")
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{wav,mp3}").load(f"{root}/*")
     return files.select(isrc_of(F.col("path")).alias("isrc"), "path", audio_type_of(F.col("path")).alias("audio_type"), F.col("modificationTime").alias("modification_time"), "length")
 
 
@@ -29,15 +30,16 @@ def new_rows(spark: SparkSession, path: str, schema: T.StructType, files_per_bat
     return reader.parquet(path)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], partition_by: Sequence[str]) -> int:
+def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], partition_by: Sequence[str], key_decides: bool = True) -> int:
     """Takes in all that is there now, once per key, and ends; returns the number of batches.
 
-    A batch that is run again after a failure adds nothing twice, because the sink knows the keys.
+    A batch that is run again after a failure adds nothing twice, because the sink knows the keys. As a key's
+    repeats have the same partition (``key_decides``), a batch reads the keys of the partitions that it goes to.
     """
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: append_once(batch, target, key, partition_by))
+        .foreachBatch(lambda batch, _: append_once(batch, target, key, partition_by, key_decides))
         .start()
     )
     query.awaitTermination()
