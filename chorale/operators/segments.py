@@ -33,6 +33,12 @@ def flattened(df: DataFrame, *keys: str) -> DataFrame:
     return one.select(*keys, F.col("p").cast("bigint").alias("seg_no"), F.col("s.text").alias("text"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
+def bounds(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per segment without its text, which isn't read: keys, seg_no (from 0), start, end."""
+    one = df.select(*keys, F.posexplode(F.arrays_zip(F.col("segments.start"), F.col("segments.end"))).alias("p", "s"))
+    return one.select(*keys, F.col("p").cast("bigint").alias("seg_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
 def rebuilt(flat: DataFrame, *keys: str) -> DataFrame:
     """The arrays behind ``flattened``, in order."""
     parts = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg_no", "text", "start", "end"))).alias("p"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, timing, wer
@@ -13,9 +15,9 @@ from ..functions.labels import canonical_language
 from ..operators import experiment, infer, metrics, results, segments
 from ..operators.intervals import merge_intervals
 from ..schema import RECORD
-from ..session import shared_dir
-from ..sources import sinks
-from ..sources.tables import sound_spans, table
+from ..session import folder, kept
+from ..sources import audio, sinks
+from ..sources.tables import PLACE, placed, sound_spans, table
 from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,18 @@ def _results(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return table(spark, sf_dir, "transcription_results").select("result_id", *cols).dropDuplicates(["result_id"])
 
 
+def _wide(spark: SparkSession, sf_dir: str, *cols: Column | str) -> DataFrame:
+    """As ``_results``, for texts and segments: the first delivery of each result, chosen without shuffling them."""
+    t = placed(table(spark, sf_dir, "transcription_results"), "ingested_at", "result_id", *cols)
+    return results.once(t, "result_id", PLACE)
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of all segments of each result once, read without the texts."""
+    pair = F.arrays_zip(F.col("segments.start"), F.col("segments.end"))
+    return segments.bounds(_wide(spark, sf_dir, pair.alias("segments")), "result_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "transcription_results")
     return merge_intervals(r, ["result_id"], sound_spans(F.col("segments")), names=("kind", "start_cs", "end_cs"))
@@ -74,9 +88,9 @@ def wav_union_mp3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folders_without_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings of the split without a file of any length."""
-    full = table(spark, sf_dir, "audio_files").where("length > 0")
-    return table(spark, sf_dir, "dataset_split").select("isrc").distinct().join(full.select("isrc").distinct(), "isrc", "left_anti")
+    """Recordings of the split without audio of any length among the outputs of the finetuned separator."""
+    full = table(spark, sf_dir, "audio_files").where((F.col("length") > 0) & (paths.audio_type_of(F.col("path")) == "demucs_ft"))
+    return audio.folders_without_audio(table(spark, sf_dir, "dataset_split"), full)
 
 
 def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +100,10 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unavailable_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results whose model isn't available under their implementation."""
-    r = _results(spark, sf_dir, "model_name", "whisper_implementation").withColumn("family", experiment.family_of())
-    return r.join(F.broadcast(experiment.matrix(spark)), ["model_name", "family"], "left_anti").select("result_id", "model_name", "whisper_implementation")
+    """Results that can't be had from another implementation, as their model isn't available there: which one."""
+    r = _results(spark, sf_dir, "model_name", "whisper_implementation").withColumn("own", experiment.family_of())
+    others = r.withColumn("family", F.explode(F.array(*[F.lit(f) for f in experiment.FAMILIES]))).where("family <> own")
+    return others.join(F.broadcast(experiment.matrix(spark)), ["model_name", "family"], "left_anti").select("result_id", "model_name", "family")
 
 
 def open_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,39 +116,39 @@ def open_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.flattened(_results(spark, sf_dir, "segments"), "result_id")
+    return segments.flattened(_wide(spark, sf_dir, "segments"), "result_id")
 
 
 def segments_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays taken apart and built again: how many elements, and the last one's text."""
-    built = segments.rebuilt(segments.flattened(_results(spark, sf_dir, "segments"), "result_id"), "result_id")
+    built = segments.rebuilt(segments.flattened(_wide(spark, sf_dir, "segments"), "result_id"), "result_id")
     return built.select("result_id", F.size("segments").cast("bigint").alias("n"), F.element_at("segments", -1)["text"].alias("last_text"))
 
 
 def segment_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments through the timestamp-pair form and back."""
-    pairs = _results(spark, sf_dir, "segments").select("result_id", segments.from_pairs(segments.to_pairs(F.col("segments"))).alias("segments"))
+    pairs = _wide(spark, sf_dir, "segments").select("result_id", segments.from_pairs(segments.to_pairs(F.col("segments"))).alias("segments"))
     return segments.flattened(pairs, "result_id")
 
 
 def transcript_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _results(spark, sf_dir, "segments", "full_text").where("segments IS NOT NULL")
+    r = _wide(spark, sf_dir, "segments", "full_text").where("segments IS NOT NULL")
     text = segments.joined_text(segments.from_fields(F.col("segments")))
     return r.select("result_id", text.alias("joined"), F.coalesce(text == F.col("full_text"), F.lit(False)).alias("verbatim"))
 
 
 def segment_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = segments.flattened(_results(spark, sf_dir, "segments"), "result_id").where("start >= 0 AND end >= 0")
+    flat = _spans(spark, sf_dir).where("start >= 0 AND end >= 0")
     return flat.select("result_id", "seg_no", timing.clock(F.col("start")).alias("starts"), timing.clock(F.col("end")).alias("ends"))
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _results(spark, sf_dir, "segments").withColumn("segments", F.filter("segments", lambda s: (s["start"] >= 0) & (s["end"] >= 0)))
+    r = _wide(spark, sf_dir, "segments").withColumn("segments", F.filter("segments", lambda s: (s["start"] >= 0) & (s["end"] >= 0)))
     return segments.report_lines(r, "result_id")
 
 
 def chunk_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = segments.flattened(_results(spark, sf_dir, "segments"), "result_id").where("start >= 0")
+    flat = _spans(spark, sf_dir).where("start >= 0")
     return flat.groupBy("result_id", segments.chunk_no(F.col("start")).alias("chunk")).agg(F.count("*").alias("n"))
 
 
@@ -144,6 +159,57 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("path", chunks.alias("chunks"), F.ceil(chunks / 16).cast("bigint").alias("calls"))
 
 
+# files in a tree
+
+
+def _written(spark: SparkSession, files: DataFrame, sound: bool) -> str:
+    """A corpus in the shared folder with a file for every row (isrc, name, length): a byte, or a short sound as WAV.
+
+    Sample k of both channels is ``(7919 k + length) mod 65536 - 32768``; there are ``100 + length mod 400``.
+    """
+    root = folder(spark, "corpus")
+    plain = root.removeprefix("file:")
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for isrc, name, length in f.itertuples(index=False):
+                os.makedirs(f"{plain}/{isrc}", exist_ok=True)
+                if sound:
+                    x = (np.arange(100 + length % 400) * 7919 + length) % 65536 - 32768
+                    sinks.write_wav(f"{plain}/{isrc}/{name}", np.repeat(x[:, None] / 32768, 2, 1), 16_000)
+                else:
+                    with open(f"{plain}/{isrc}/{name}", "wb") as out:
+                        out.write(b"-")
+            yield pd.DataFrame({"n": [len(f)]})
+
+    files.select("isrc", "name", "length").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed files as a tree, scanned as a corpus; each folder's files by audio version."""
+    files = _files(spark, sf_dir).select("isrc", paths.file_name(F.col("path")).alias("name"), "length")
+    root = _written(spark, files, False)
+    return audio.audio_files(spark, root, strict=True).groupBy("isrc", "audio_type").agg(F.count("*").alias("files"), F.min(paths.file_name(F.col("path"))).alias("first_name"))
+
+
+def tree_without_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of originals and of what the finetuned separator left; folders without any of the latter."""
+    files = _files(spark, sf_dir).select("isrc", paths.file_name(F.col("path")).alias("name"), "length").where("name IN ('audio.mp3', 'demucs_ft.wav')")
+    root = _written(spark, files, False)
+    return audio.folders_without_audio(audio.folders(spark, root), audio.audio_files(spark, root, ("wav",)))
+
+
+def tree_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short sound for every original, separated by the stub; what the written vocals hold."""
+    originals = _files(spark, sf_dir).where(F.col("path").endswith("/audio.mp3")).select("isrc", F.lit("audio.wav").alias("name"), "length")
+    root = _written(spark, originals, True)
+    runs = infer.separate(audio.audio_files(spark, root), "stub-separator", "stub", "spleeter_16.wav", tasks=spark.sparkContext.defaultParallelism)
+    ok = runs.where("error IS NULL").agg(F.count("*")).first()[0]
+    vocals = infer.decoded(audio.audio_files(spark, root).where("audio_type = 'spleeter_16'"))
+    return vocals.withColumn("separated", F.lit(ok))
+
+
 # inference contract
 
 
@@ -163,9 +229,35 @@ def stub_error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(paths.file_name(F.col("path")).cast("bigint").alias("doc_id"), F.coalesce("error", F.lit("")).alias("error"))
 
 
+def transcribe_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stub's records say of themselves."""
+    r = _stub(spark, sf_dir)
+    return r.select(
+        paths.file_name(F.col("path")).cast("bigint").alias("doc_id"), "run_id", "model_name", "whisper_implementation", "audio_type", "detected_language",
+        (F.col("transcription_time") >= 0).alias("timed"), F.size("segments").cast("bigint").alias("n"), F.length("full_text").cast("bigint").alias("chars"),
+    ).where("timed")
+
+
+def stored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and failures written once and kept apart; what each table holds."""
+    out = kept(_stub(spark, sf_dir))
+    at = folder(spark, "results")
+    for _ in range(2):
+        sinks.append_once(infer.successes(out), at)
+    infer.failures(out).write.mode("append").parquet(f"{at}_errors")
+    both = spark.read.parquet(at).select(F.lit("record").alias("kind"), F.lit("").alias("error")).unionByName(spark.read.parquet(f"{at}_errors").select(F.lit("failure").alias("kind"), "error"))
+    return both.groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
 # metrics
 
 
+def timing_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of time spent on the alignment model, as it is shown."""
+    r = _results(spark, sf_dir, "alignment_model_load_time", "transcription_time").where("alignment_model_load_time IS NOT NULL AND transcription_time <> 0")
+    return r.select("result_id", timing.two_decimals(timing.alignment_share(F.col("alignment_model_load_time"), F.col("transcription_time"))).alias("shown"))
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.run_summary(table(spark, sf_dir, "separation_runs").distinct(), "separator", "output_name")
 
@@ -220,6 +312,11 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.versions(experiment.matrix(spark))
 
 
+def other_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of the models that run under a toolkit of their own."""
+    return experiment.versions(experiment.matrix(spark, experiment.OTHERS))
+
+
 def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results in each cell of the grid, empty cells included."""
     r = _results(spark, sf_dir, "model_name", "whisper_implementation", "audio_type", "error").withColumn("family", experiment.family_of())
@@ -256,23 +353,23 @@ def skip_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records through their JSON form and back."""
-    r = _results(spark, sf_dir, *RECORD.names, "error").where("error IS NULL")
+    r = _wide(spark, sf_dir, *RECORD.names, "error").where("error IS NULL")
     back = r.select("result_id", F.from_json(F.to_json(F.struct(*RECORD.names), {"ignoreNullFields": "false"}), RECORD).alias("j"))
     return back.select("result_id", "j.full_text", F.size("j.segments").cast("bigint").alias("n_segments"), "j.model_name", "j.audio_type", "j.alignment_model_load_time", "j.transcription_time", "j.detected_language")
 
 
 def append_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results appended to a table twice over; the second time adds nothing."""
-    at = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    at = folder(spark, "append")
     r = table(spark, sf_dir, "transcription_results").select("result_id", "path", "model_name", "whisper_implementation")
     for _ in range(2):
-        sinks.append_once(r, at, key=("result_id",))
+        sinks.append_once(r, at, key=("result_id",), key_decides=True)
     return spark.read.parquet(at).groupBy("model_name", "whisper_implementation").agg(F.count("*").alias("n"))
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timings taken in as a stream, each once, then counted per implementation."""
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = folder(spark, "stream")
     path = f"{sf_dir}/transcription_timings.parquet"
     stream = ingest.new_rows(spark, path, spark.read.parquet(path).schema).select("timing_id", "whisper_implementation", "audio_type")
     ingest.ingest(stream, f"{at}/table", f"{at}/checkpoint", ("timing_id",), ("whisper_implementation",))
@@ -284,7 +381,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every result against the first whisperx large-v3 result of the same file."""
-    r = _results(spark, sf_dir, "path", "model_name", "whisper_implementation", "full_text", "error").where("error IS NULL AND full_text IS NOT NULL")
+    r = _wide(spark, sf_dir, "path", "model_name", "whisper_implementation", "full_text", "error").where("error IS NULL AND full_text IS NOT NULL")
     first = r.where("model_name = 'large-v3' AND whisper_implementation = 'whisperx'").groupBy("path").agg(F.min(F.struct("result_id", "full_text")).alias("m"))
     ref = first.select("path", F.col("m.result_id").alias("reference_id"), F.col("m.full_text").alias("reference"))
     both = r.join(ref, "path").where("result_id <> reference_id")
@@ -307,8 +404,8 @@ def queries() -> dict[str, Query]:
         for f in (
             p3_found, p3_folder_coverage, isrc_from_path, path_join, file_stem, audio_type_map, audio_extension_filter, wav_union_mp3, folders_without_audio, first_match,
             unavailable_models, open_segments, segments_flatten, segments_count, segment_projection, transcript_full_text, segment_clock, report_lines, chunk_30s, batch_assign,
-            stub_transcribe, stub_error_capture, run_summary, run_summary_empty, realtime_factor, transcription_speed, alignment_share, language_share, train_test_split,
-            model_backend_matrix, experiment_grid, grid_coverage, missing_versions, latest_result, latest_per_work, skip_finished, json_record, append_twice, stream_ingest,
+            tree_scan, tree_without_audio, tree_separate, stub_transcribe, stub_error_capture, transcribe_record, stored_failures, timing_display, run_summary, run_summary_empty, realtime_factor, transcription_speed, alignment_share, language_share, train_test_split,
+            model_backend_matrix, experiment_grid, other_models, grid_coverage, missing_versions, latest_result, latest_per_work, skip_finished, json_record, append_twice, stream_ingest,
             wer_per_item, wer_corpus,
         )
     }

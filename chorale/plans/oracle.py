@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.labels import LANGUAGES, PLACEHOLDERS
-from ..operators.experiment import MATRIX
+from ..operators.experiment import FAMILIES, MATRIX, OTHERS
 from ..schema import AUDIO_TYPES
 
 _FILES = "(SELECT path, max(isrc) AS isrc, max(audio_type) AS audio_type, max(length) AS length, max(duration_s) AS duration_s FROM audio_files GROUP BY path)"
@@ -62,8 +62,37 @@ round(CAST(sum(CASE WHEN error IS NULL THEN CAST(separation_time AS DECIMAL(24,
 CAST(floor(epoch(max(finished_at))) - floor(epoch(min(finished_at))) AS BIGINT) AS elapsed_s"""
 
 
+#: Word edits by dynamic programming, a row of the table for each word of the hypothesis.
+_EDITS = rf"""
+WITH RECURSIVE r AS (SELECT result_id, path, model_name, whisper_implementation, [w FOR w IN string_split_regex(lower(full_text), '\s+') IF w <> ''] AS words FROM {_RESULTS} WHERE error IS NULL AND full_text IS NOT NULL),
+f AS (SELECT path, min(result_id) AS reference_id FROM r WHERE model_name = 'large-v3' AND whisper_implementation = 'whisperx' GROUP BY path),
+p AS (SELECT h.result_id, f.reference_id, h.model_name, h.whisper_implementation, x.words AS a, h.words AS b FROM r h JOIN f ON f.path = h.path JOIN r x ON x.result_id = f.reference_id WHERE h.result_id <> f.reference_id),
+d AS (
+  SELECT result_id, a, b, 0 AS j, range(0, len(a) + 1) AS t FROM p
+  UNION ALL
+  SELECT result_id, a, b, j + 1, [i + list_min(e[1 : i + 1]) FOR i IN range(0, len(a) + 1)]
+  FROM (SELECT *, list_prepend(j + 1, [least(t[i + 1] + 1, t[i] + CASE WHEN a[i] = b[j + 1] THEN 0 ELSE 1 END) - i FOR i IN range(1, len(a) + 1)]) AS e FROM d WHERE j < len(b))
+),
+e AS (SELECT p.result_id, reference_id, model_name, whisper_implementation, CAST(d.t[len(d.a) + 1] AS BIGINT) AS edits, CAST(len(d.a) AS BIGINT) AS reference_words FROM p JOIN d ON d.result_id = p.result_id WHERE d.j = len(d.b))
+"""
+
+_TREE = "(SELECT DISTINCT isrc, regexp_extract(path, '([^/]+)$', 1) AS name, path FROM audio_files)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "wer_per_item": _EDITS + "SELECT result_id, reference_id, edits, reference_words, round(CAST(edits AS DOUBLE) / nullif(reference_words, 0), 6) AS wer FROM e",
+        "wer_corpus": _EDITS + "SELECT model_name, whisper_implementation, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(reference_words) AS BIGINT) AS reference_words, round(CAST(sum(edits) AS DOUBLE) / nullif(sum(reference_words), 0), 6) AS wer FROM e GROUP BY 1, 2",
+        "tree_scan": f"SELECT isrc, {_type('unknown')} AS audio_type, count(*) AS files, min(name) AS first_name FROM {_TREE} WHERE regexp_matches(name, '\\.(wav|mp3)$') GROUP BY 1, 2",
+        "tree_without_audio": f"SELECT isrc FROM {_TREE} WHERE name IN ('audio.mp3', 'demucs_ft.wav') GROUP BY isrc HAVING count(*) FILTER (name LIKE '%.wav') = 0",
+        "tree_separate": f"""
+SELECT isrc, 100 + length % 400 AS frames, 2::BIGINT AS channels, 16000::BIGINT AS rate, CAST(list_sum([(k * 7919 + length) % 65536 - 32768 FOR k IN range(100 + length % 400)]) AS BIGINT) AS total, count(*) OVER () AS separated
+FROM {_FILES} WHERE path LIKE '%/audio.mp3'
+""",
+        "transcribe_record": "SELECT doc_id, 'r0' AS run_id, 'stub-1' AS model_name, 'stub' AS whisper_implementation, 'regular' AS audio_type, 'en' AS detected_language, true AS timed, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE text <> ''",
+        "stored_failures": "SELECT CASE WHEN text <> '' THEN 'record' ELSE 'failure' END AS kind, CASE WHEN text <> '' THEN '' ELSE 'ValueError: no content' END AS error, count(*) AS n FROM documents GROUP BY 1, 2",
+        "timing_display": f"SELECT result_id, printf('%.2f', alignment_model_load_time / transcription_time * 100) AS shown FROM {_RESULTS} WHERE alignment_model_load_time IS NOT NULL AND transcription_time <> 0",
+        "other_models": f"SELECT model_name, family, audio_type FROM (VALUES {', '.join(f"('{m}', '{f}')" for m, fs in OTHERS for f in fs)}) AS o(model_name, family), {_VERSIONS}",
         "p3_found": _intervals("result_id"),
         "p3_folder_coverage": _intervals("isrc"),
         "isrc_from_path": f"SELECT path, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS isrc FROM {_FILES}",
@@ -72,9 +101,9 @@ def oracle_sql() -> dict[str, str]:
         "audio_type_map": f"SELECT path, {_type('regular')} AS audio_type, {_type('unknown')} AS strict_type FROM {_FILES}",
         "audio_extension_filter": rf"SELECT path, length FROM {_FILES} WHERE regexp_matches(path, '\.(wav|mp3)$')",
         "wav_union_mp3": "SELECT DISTINCT path, 'wav' AS kind FROM audio_files WHERE path LIKE '%.wav' UNION ALL SELECT DISTINCT path, 'mp3' FROM audio_files WHERE path LIKE '%.mp3'",
-        "folders_without_audio": "SELECT DISTINCT isrc FROM dataset_split s WHERE isrc IS NOT NULL AND NOT EXISTS (SELECT 1 FROM audio_files f WHERE f.isrc = s.isrc AND f.length > 0)",
+        "folders_without_audio": f"SELECT DISTINCT isrc FROM dataset_split s WHERE isrc IS NOT NULL AND NOT EXISTS (SELECT 1 FROM audio_files f WHERE f.isrc = s.isrc AND f.length > 0 AND {_type('regular')} = 'demucs_ft')",
         "first_match": f"SELECT path FROM audio_files WHERE {_type('unknown')} = 'unknown' ORDER BY path LIMIT 1",
-        "unavailable_models": f"SELECT result_id, model_name, whisper_implementation FROM {_RESULTS} r WHERE NOT EXISTS (SELECT 1 FROM {_MATRIX} WHERE matrix.model_name = r.model_name AND matrix.family = {_FAMILY})",
+        "unavailable_models": f"SELECT result_id, model_name, family FROM (SELECT *, unnest({list(FAMILIES)}) AS family FROM {_RESULTS}) r WHERE family <> {_FAMILY} AND NOT EXISTS (SELECT 1 FROM {_MATRIX} WHERE matrix.model_name = r.model_name AND matrix.family = r.family)",
         "open_segments": f"SELECT DISTINCT result_id, CAST(len(segments) AS BIGINT) AS n FROM {_RESULTS} WHERE len([x FOR x IN segments IF x.\"start\" IS NULL OR x.\"end\" IS NULL]) > 0",
         "segments_flatten": _flat(_RESULTS),
         "segments_count": f"SELECT result_id, CAST(len(segments) AS BIGINT) AS n, segments[-1].text AS last_text FROM {_RESULTS} WHERE len(segments) > 0",

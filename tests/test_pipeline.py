@@ -129,6 +129,47 @@ def test_latest_and_unfinished(spark):
     assert [r.path for r in results.unfinished(work, work.where("path = 'a'"), ["path"]).collect()] == ["b"]
 
 
+def test_once_keeps_the_first_row_of_a_key(spark, monkeypatch):
+    rows = [(1, 5, "f", 0, "late"), (1, 3, "f", 1, "first"), (1, 3, "g", 0, "copy"), (2, 9, "f", 2, "only"), (None, 1, "f", 3, "x"), (None, 2, "f", 4, "y")]
+    df = spark.createDataFrame(rows, "id int, at_time int, at_file string, at_row int, v string")
+    for bound in (results.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(results, "BROADCAST_ROWS", bound)
+        got = results.once(df, "id", ("at_time", "at_file", "at_row"))
+        assert got.columns == ["id", "v"] and sorted(r.v for r in got.collect()) == ["first", "only", "x", "y"]
+
+
+def test_an_append_reads_only_the_partitions_it_goes_to(spark, tmp_path):
+    at = str(tmp_path / "t")
+    old = spark.createDataFrame([(i, f"d{i % 4}") for i in range(40)], "id long, day string")
+    sinks.append_once(old, at, ("id",), ("day",), key_decides=True)
+    import shutil
+
+    shutil.rmtree(tmp_path / "t" / "day=d3")  # isn't looked at
+    new = spark.createDataFrame([(1, "d1"), (41, "d1"), (41, "d1"), (2, "d2"), (50, None), (50, None)], "id long, day string")
+    for _ in range(2):
+        sinks.append_once(new, at, ("id",), ("day",), key_decides=True)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == sorted([i for i in range(40) if i % 4 != 3] + [41, 50])
+    assert sinks.MAX_TOUCHED >= 4
+
+
+def test_sweep_removes_what_was_kept(spark):
+    from pathlib import Path
+
+    from chorale import session
+
+    df = session.kept(spark.range(3))
+    at = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert at.exists() and session.sweep(spark) >= 1 and not at.exists()
+
+
+def test_host_gpus(tmp_path, spark):
+    for i, name in enumerate(("Some GPU 40GB", "Other")):
+        (tmp_path / f"0000:0{i}").mkdir()
+        (tmp_path / f"0000:0{i}" / "information").write_text(f"Model: \t\t {name}\nIRQ: 1\n")
+    assert host.gpu_names(str(tmp_path)) == ["Some GPU 40GB", "Other"]
+    assert host.machines(spark).count() == 1
+
+
 def test_grid(spark):
     m = experiment.matrix(spark)
     assert m.count() == 21 and experiment.versions(m).count() == 105

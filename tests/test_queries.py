@@ -55,3 +55,19 @@ def test_core_never_imports_the_subpackage():
 def test_intervals_read_no_texts(spark):
     plan = core_queries.p3_found(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "segments:array<struct<start:double,end:double>>" in plan and "full_text" not in plan
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["segments_flatten", "segments_count", "segment_projection", "transcript_full_text", "report_lines", "json_record"])
+def test_repeats_move_no_text(spark, name):
+    """No exchange before the rows are taken apart: only the few repeated keys are broadcast."""
+    plan = core_queries.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("BroadcastHashJoin") :]
+    assert "Exchange hashpartitioning" not in below
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["segment_clock", "chunk_30s"])
+def test_times_are_read_without_texts(spark, name):
+    plan = core_queries.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "segments:array<struct<start:double,end:double>>" in plan
