@@ -249,6 +249,28 @@ p AS (
 SELECT result_id, piece_no, ss[i] AS start_cs, list_max(ee[i:j]) AS end_cs FROM p
 """
 
+#: Boundaries by silence, then order; ``c`` is the first segment of each segment's cluster so far.
+_PAUSES = """
+WITH RECURSIVE x AS (SELECT DISTINCT ON (result_id) result_id, segments FROM transcription_results WHERE segments IS NOT NULL),
+u AS (SELECT result_id, unnest(segments) AS g FROM x),
+v AS (SELECT result_id, CAST(round(g."start" * 100) AS BIGINT) AS s, CAST(round(g."end" * 100) AS BIGINT) AS e FROM u WHERE g."start" IS NOT NULL AND g."end" IS NOT NULL),
+l AS (SELECT result_id, list(s ORDER BY s, e) AS ss, list(e ORDER BY s, e) AS ee FROM v WHERE e > s GROUP BY result_id),
+f AS (
+  SELECT *, [CASE WHEN k > 1 AND greatest(ee[k - 1], ee[k]) - ss[k - 1] <= 6000 THEN k - 1 ELSE k END FOR k IN range(1, len(ss) + 1)] AS carry,
+    [b.i FOR b IN list_sort([{'gap': ss[k + 1] - list_max(ee[1:k]), 'i': k} FOR k IN range(1, len(ss))])] AS o
+  FROM l WHERE list_max(ee) - ss[1] > 6000
+),
+m AS (
+  SELECT result_id, ss, ee, carry, o, range(1, len(ss) + 1) AS c, 1 AS t FROM f
+  UNION ALL
+  SELECT result_id, ss, ee, carry, o, CASE WHEN greatest(top, ee[carry[a]]) - ss[carry[a]] <= 6000 THEN [CASE WHEN x = i + 1 THEN a ELSE x END FOR x IN c] ELSE c END, t + 1
+  FROM (SELECT *, list_max([ee[k] FOR k IN range(1, len(ss) + 1) IF c[k] = a OR c[k] = i + 1]) AS top FROM (SELECT *, o[t] AS i, c[o[t]] AS a FROM m WHERE t <= len(o)))
+),
+d AS (SELECT * FROM m WHERE t = len(o) + 1),
+p AS (SELECT result_id, ss, ee, carry, c, unnest(list_sort(list_distinct(c))) AS a FROM d)
+SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY a) AS piece_no, ss[carry[a]] AS start_cs, greatest(ee[carry[a]], list_max([ee[k] FOR k IN range(1, len(ss) + 1) IF c[k] = a])) AS end_cs FROM p
+"""
+
 _COMBINED = f"""
 WITH t AS (SELECT DISTINCT timing_id, CAST(logged_at AS DATE) AS day, model_name, whisper_implementation, audio_type, transcription_time AS v FROM transcription_timings),
 f AS (SELECT *, pow(10.0, floor(log10(v)) - 2) AS step FROM t WHERE v > 0 AND isfinite(v)),
@@ -274,6 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "p8_found": _LEAKED,
         "p4_found": _PAIRS,
         "p5_found": _PIECES,
+        "p5_pause_cuts": _PAUSES,
         "p6_percentiles": _percentile_sql("timing_id", "transcription_timings", "logged_at"),
         "p6_combined_days": _COMBINED,
         "p6_result_percentiles": _percentile_sql("result_id", "transcription_results"),
