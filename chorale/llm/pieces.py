@@ -6,8 +6,8 @@ the weakest boundary is taken first and its clusters merged if the merged size,
 overlap it carries from the cluster before, keeps the limit. A refused boundary stays: clusters only
 grow, so it could not fit later either.
 
-The overlap of a cluster is the segment before it, if that segment and the cluster's first together
-keep the limit. The result is one row per piece. An item's segments sit in its own row, so nothing
+The overlap of a cluster is a number of segments before it (one, unless told otherwise), as far as they
+and the cluster's first together keep the limit. The result is one row per piece. An item's segments sit in its own row, so nothing
 is shuffled; the work is linear in segments but for the heap's logarithm.
 """
 
@@ -29,14 +29,22 @@ from pyspark.sql import types as T
 BOUNDARIES = ("order", "gap")
 
 
-def agglomerate(s: Sequence[int], e: Sequence[int], limit: int, boundary: str = "order", overlap: bool = True) -> list[tuple[int, int]]:
-    """Clusters as (first, last) segment, the overlap included in ``first``; s, e sorted by start then end."""
+def agglomerate(s: Sequence[int], e: Sequence[int], limit: int, boundary: str = "order", overlap: int = 1) -> list[tuple[int, int]]:
+    """Clusters as (first, last) segment, the overlap included in ``first``; s, e sorted by start then end.
+
+    ``overlap`` is how many segments a cluster repeats at most from before it.
+    """
     n = len(s)
     if not n:
         return []
-    carry = [0] * n  # where a cluster that starts at segment i begins with its overlap
+    carry, reach_of = [0] * n, list(e)  # where a cluster that starts at segment i begins with its overlap, and how far that reaches
     for i in range(1, n):
-        carry[i] = i - 1 if overlap and max(e[i - 1], e[i]) - s[i - 1] <= limit else i
+        carry[i], top = i, e[i]
+        for j in range(i - 1, max(-1, i - 1 - overlap), -1):
+            top = max(top, e[j])
+            if top - s[j] > limit:
+                break
+            carry[i], reach_of[i] = j, top
     last, first, top = list(range(n)), list(range(n)), list(e)  # by cluster's first, by its last, largest end by first
     strength = list(range(n - 1))
     if boundary == "gap":
@@ -51,8 +59,7 @@ def agglomerate(s: Sequence[int], e: Sequence[int], limit: int, boundary: str =
         _, i = heapq.heappop(heap)  # the boundary between segments i and i + 1
         a, b = first[i], i + 1
         end = max(top[a], top[b])
-        c = carry[a]
-        if max(end, e[c]) - s[c] <= limit:
+        if max(end, reach_of[a]) - s[carry[a]] <= limit:
             top[a], z = end, last[b]
             last[a], first[z] = z, a
     out, a = [], 0
@@ -62,15 +69,16 @@ def agglomerate(s: Sequence[int], e: Sequence[int], limit: int, boundary: str =
     return out
 
 
-def cut_items(df: DataFrame, key: str, spans: Column, limit: int, boundary: str = "order", overlap: bool = True, names: Sequence[str] = ("piece_no", "start_unit", "end_unit")) -> DataFrame:
+def cut_items(df: DataFrame, key: str, spans: Column, limit: int, boundary: str = "order", overlap: int = 1, whole: bool = True, names: Sequence[str] = ("piece_no", "start_unit", "end_unit")) -> DataFrame:
     """Pieces of every item whose spans reach over more than ``limit`` units.
 
     ``spans`` is ARRAY<STRUCT<s BIGINT, e BIGINT>>, in any order. Result: the key, then ``names``:
-    piece number from 1, first start, largest end.
+    piece number from 1, first start, largest end. A piece repeats up to ``overlap`` segments of what lies
+    before it. Segments above the limit are cut into parts of the limit unless they must stay ``whole``.
 
     Defined cases: NULL arrays, elements and bounds and spans with e <= s are ignored; items without
-    sound spans or within the limit give no row; a segment above the limit is a piece alone (atoms
-    are never cut); equal segments are kept as separate atoms; rows with the same key are cut each
+    sound spans or within the limit give no row; a segment above the limit is a piece alone if segments
+    stay whole; equal segments are kept as separate atoms; rows with the same key are cut each
     on their own; a NULL key is kept; an empty table gives an empty result; other columns of ``df``
     are ignored.
     """
@@ -89,6 +97,11 @@ def cut_items(df: DataFrame, key: str, spans: Column, limit: int, boundary: str
             row = np.repeat(np.arange(len(b)), counts)
             ok = e > s
             row, s, e = row[ok], s[ok], e[ok]
+            if not whole:
+                parts = -((s - e) // limit)
+                place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                row, first, last = np.repeat(row, parts), np.repeat(s, parts), np.repeat(e, parts)
+                s, e = first + place * limit, np.minimum(first + (place + 1) * limit, last)
             order = np.lexsort((e, s, row))
             row, s, e = row[order], s[order], e[order]
             at = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)

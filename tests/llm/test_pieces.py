@@ -74,3 +74,27 @@ def test_very_long_item():
     n = 20_000
     got = agglomerate(list(range(0, 10 * n, 10)), list(range(9, 10 * n + 9, 10)), 100)
     assert got == greedy([(i, i + 9) for i in range(0, 10 * n, 10)], 100)
+
+
+@given(spans, st.integers(5, 120), st.integers(0, 4), st.sampled_from(["order", "gap"]))
+@settings(max_examples=300, deadline=None)
+def test_more_segments_of_overlap(segs, limit, overlap, boundary):
+    got = agglomerate([s for s, _ in segs], [e for _, e in segs], limit, boundary, overlap)
+    plain = agglomerate([s for s, _ in segs], [e for _, e in segs], limit, boundary, 0)
+    assert [z for _, z in plain] == sorted({z for _, z in plain})
+    at = 0
+    for a, z in got:
+        assert at - overlap <= a <= at <= z
+        assert max(e for _, e in segs[a : z + 1]) - segs[a][0] <= limit or a == z
+        # no further segment of overlap would have kept the limit beside the cluster's first
+        if at - overlap < a and a > 0:
+            assert max(e for _, e in segs[a - 1 : at + 1]) - segs[a - 1][0] > limit
+        at = z + 1
+    assert at == len(segs)
+
+
+def test_oversized_segments_are_cut_if_they_may_be(spark):
+    df = spark.createDataFrame([("a", [(0, 250), (260, 300)]), ("b", [(0, 90)])], f"k string, iv {SPAN}")
+    rows = [tuple(r) for r in cut_items(df, "k", F.col("iv"), 100, overlap=0, whole=False).collect()]
+    assert rows == [("a", 1, 0, 100), ("a", 2, 100, 200), ("a", 3, 200, 300)]
+    assert [tuple(r) for r in cut_items(df, "k", F.col("iv"), 100, overlap=0).collect()] == [("a", 1, 0, 250), ("a", 2, 260, 300)]
