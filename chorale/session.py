@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "chorale", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -35,6 +36,7 @@ def reachable(spark: SparkSession) -> None:
 
 
 _written: list[str] = []
+_tables: list[str] = []
 _made: dict[str, str] = {}
 
 
@@ -82,6 +84,25 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def kept_in_buckets(df: DataFrame, buckets: int, by: str, order: tuple[str, ...]) -> DataFrame:
+    """As ``kept``, in buckets by a column and sorted in each: what groups by that column needs no shuffle."""
+    spark, at = df.sparkSession, folder(df.sparkSession)
+    name = f"chorale_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(buckets, by).sortBy(*order).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
+def bucket_keys(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket in order a number that falls into it, so that every bucket can be given one partition."""
+    tried = 32 * buckets
+    while True:
+        found = spark.range(tried).groupBy(F.expr(f"pmod(hash(id), {buckets})").alias("b")).agg(F.min("id").alias("k")).collect()
+        if len(found) == buckets:
+            return [r["k"] for r in sorted(found, key=lambda r: r["b"])]
+        tried *= 4
+
+
 def folder(spark: SparkSession, kind: str = "chorale") -> str:
     """A new folder name in the shared folder, which ``sweep`` removes."""
     at = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
@@ -92,6 +113,8 @@ def folder(spark: SparkSession, kind: str = "chorale") -> str:
 def sweep(spark: SparkSession) -> int:
     """Removes the tables that this process wrote to the shared folder; to be called when no query needs them."""
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += at.getFileSystem(conf).delete(at, True)
