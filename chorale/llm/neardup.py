@@ -9,20 +9,26 @@ lost. Pairs within the radius are verified on their texts.
 
 Comparing all with all would be quadratic, so vectors meet in blocks that lose nothing: if two sets
 reach the threshold t, the first ``n - ceil(t * n) + 1`` elements of both, in one order common to
-all, share an element. The order is by estimated frequency, rare first (counts hashed into a table of
-fixed size; whatever its collisions, any common order is exact). A block holds the sets with one
-element in common; inside it, vectors are sorted by size and compared tile against tile with numpy's
-exclusive-or and bit count, and a tile pair is skipped when the sizes of its sets differ beyond the
-radius. Elements that are more frequent than ``hot`` are salted: their sets are spread over k tiles
-and each pair of tiles is a block of its own.
-
-What travels per set is one vector per bucket of blocks that it takes part in, packed in binary
-columns. The pairs found come out, never the pairs compared.
+all, share an element. The order is by frequency, rare first; elements of one set only are in no block. A
+block holds the sets with one element in common; inside it, vectors are compared tile against tile with
+numpy's exclusive-or and bit count, and a tile pair is skipped when population counts (or sizes) differ
+beyond the radius. Elements that are more frequent than ``hot`` are salted: their sets are spread over k
+tiles and each pair of tiles is a block of its own.
+
+Frequencies are counted in a table of cells (``CELLS`` for every element, so few share one; whatever they
+share, any common order is exact) that grows with the data and is spread over tasks: packs of sets send
+the cells they hold, each once with a count, to the task of the cell's range, and get the totals back in
+the same order. Nothing that grows with the data is broadcast or sent to the driver.
+
+What travels per set is two or three bytes per element for the counts, its text to the counts of its pack,
+and one vector per bucket of blocks that it takes part in, packed in binary columns. The pairs found come
+out, never the pairs compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +40,15 @@ from pyspark.sql import functions as F
 from ..session import cut, kept
 
 BITS = 512
-TABLE_BITS = 22
 TILE = 512
-#: Sets per block beyond which an element's block is split into pairs of tiles.
+#: Cells of the table of frequencies for every element of a set, and (as a power of 2) in one task's range.
+CELLS, RANGE_BITS = 8, 22
+#: Sets and characters of text in a pack of sets, on average.
+PACK_SETS, PACK_CHARS = 2000, 8_000_000
+#: Sets per block beyond which an element's block is split into pairs of tiles, and copies beyond which a class is.
 HOT = 20_000
 #: Elements per bucket of blocks that one task takes at once, on average.
-BUCKET = 500_000
+BUCKET = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -122,24 +131,46 @@ def distinct_sets(df: DataFrame, key: str, text: str, k: int, least_words: int)
     return src.mapInArrow(run, "id bigint, sig binary, n bigint, text string")
 
 
-def frequency_table(reps: DataFrame, k: int, least_words: int, table_bits: int) -> np.ndarray:
-    """Upper bounds of how many sets hold an element, by the element's hash: one INT per cell of a fixed table."""
-    size, mask = 1 << table_bits, np.uint64((1 << table_bits) - 1)
+def _cells(texts: pa.Array, k: int, least_words: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and element of every set, the distinct cells in order, each element's cell among them, and their counts."""
+    row, g = shingles(texts, k, least_words)
+    cell, back, count = np.unique(g & np.uint64((1 << bits) - 1), return_inverse=True, return_counts=True)
+    return row, g, cell, back.reshape(-1), count
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int32)
-        for b in _slices(batches):
-            _, g = shingles(b.column(0), k, least_words)
-            total += np.bincount((g & mask).astype(np.int64), minlength=size).astype(np.int32)
-        at = np.flatnonzero(total)
-        for part in np.array_split(at, max(1, len(at) // 100_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["h", "c"])
 
-    sums = reps.select("text").mapInArrow(count, "h int, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c"))
-    table = np.ones(size, np.int32)
-    got = sums.toArrow()  # at most one row per cell of the table
-    table[got.column("h").to_numpy()] = got.column("c").to_numpy()
-    return table
+def frequencies(packed: DataFrame, k: int, least_words: int, bits: int, range_bits: int = RANGE_BITS) -> DataFrame:
+    """For each pack and range of cells the totals of the pack's cells, in the order of the cells: pack, part, totals.
+
+    ``packed`` has the columns pack, id, text. Totals are the upper halves of 32-bit floats, which keep
+    their order.
+    """
+    low = min(bits, range_bits)
+
+    def send(t: pa.Table) -> pa.Table:
+        _, _, cell, _, count = _cells(t.column("text").combine_chunks(), k, least_words, bits)
+        part = (cell >> np.uint64(low)).astype(np.int64)
+        rest = (cell & np.uint64((1 << low) - 1)).astype(np.int64)
+        at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        steps, counts = [], []
+        for a, z in zip(at, np.append(at[1:], len(part))):
+            step = np.diff(rest[a:z], prepend=0)  # cells ascend, so steps are short
+            steps.append(step.astype(np.uint16 if step.max() < 1 << 16 else np.uint32).tobytes())
+            counts.append(count[a:z].astype(np.uint32 if count[a:z].max() > 255 else np.uint8).tobytes())
+        pack = t.column("pack")[0].as_py()
+        return pa.table({"pack": pa.array([pack] * len(at), pa.int64()), "part": pa.array(part[at]), "n": pa.array(np.diff(np.append(at, len(part)))), "steps": pa.array(steps, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << low, np.int64)
+        cells = []
+        for n, steps, counts in zip(*(t.column(c).to_pylist() for c in ("n", "steps", "counts"))):
+            cell = np.cumsum(np.frombuffer(steps, f"<u{len(steps) // n}").astype(np.int64))
+            total[cell] += np.frombuffer(counts, f"<u{len(counts) // n}")
+            cells.append(cell)
+        half = (total.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
+        return pa.table({"pack": t.column("pack"), "part": t.column("part"), "totals": pa.array([half[c].tobytes() for c in cells], pa.binary())})
+
+    sent = packed.groupBy("pack").applyInArrow(send, "pack bigint, part bigint, n bigint, steps binary, counts binary")
+    return sent.groupBy("part").applyInArrow(add, "pack bigint, part bigint, totals binary")
 
 
 def _within(sa: np.ndarray, sb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -150,6 +181,7 @@ def _within(sa: np.ndarray, sb: np.ndarray, num: int, den: int) -> np.ndarray:
 def compare_lists(doc: np.ndarray, start: np.ndarray, vec: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Pairs (n, 2) of documents within the radius in any list; lists are ascending, documents sorted by size."""
     found = []
+    ones = np.bitwise_count(vec).sum(1).astype(np.int64)
     end = np.append(start[1:], len(doc))
     length = end - start
     limit = np.searchsorted(size, size * den // num, "right")  # first document that is too large for each
@@ -165,10 +197,10 @@ def compare_lists(doc: np.ndarray, start: np.ndarray, vec: np.ndarray, size: np.
         i = np.repeat(pos[a:z], m)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
         i, j = doc[i], doc[j]
-        ok = j < limit[i]
-        i, j = i[ok], j[ok]
-        half = vec.shape[1] // 2
         far = _within(size[i], size[j], num, den)
+        ok = (j < limit[i]) & (np.abs(ones[i] - ones[j]) <= far)  # neither sizes nor population counts differ beyond the radius
+        i, j, far = i[ok], j[ok], far[ok]
+        half = vec.shape[1] // 2
         d = np.bitwise_count(vec[i, :half] ^ vec[j, :half]).sum(1)
         ok = d <= far
         i, j, far, d = i[ok], j[ok], far[ok], d[ok]
@@ -183,15 +215,20 @@ def compare_lists(doc: np.ndarray, start: np.ndarray, vec: np.ndarray, size: np.
 
 
 def compare_tiles(da: np.ndarray, db: np.ndarray, vec: np.ndarray, size: np.ndarray, num: int, den: int, same: bool) -> np.ndarray:
-    """Packed pairs within the radius between two ascending lists (of one list: each pair once)."""
+    """Packed pairs within the radius between two lists (of one list: each pair once), in tiles by population count."""
     found = [np.zeros(0, np.int64)]
+    ones = np.bitwise_count(vec).sum(1).astype(np.int64)
+    da, db = da[np.argsort(ones[da], kind="stable")], db[np.argsort(ones[db], kind="stable")]
     for a in range(0, len(da), TILE):
         x = da[a : a + TILE]
-        vx, sx = vec[x].T.copy(), size[x].astype(np.int64)
+        vx, sx, px = vec[x].T.copy(), size[x].astype(np.int64), ones[x]
         for b in range(a if same else 0, len(db), TILE):
             y = db[b : b + TILE]
-            sy = size[y].astype(np.int64)
-            if sy[0] * num > sx[-1] * den or sx[0] * num > sy[-1] * den:  # sizes differ beyond the radius
+            sy, py = size[y].astype(np.int64), ones[y]
+            radius = _within(sx.max(), sy.max(), num, den)
+            if py[0] - px[-1] > radius or px[0] - py[-1] > radius:  # population counts differ beyond the radius
+                continue
+            if sy.min() * num > sx.max() * den or sx.min() * num > sy.max() * den:  # and so do sizes
                 continue
             vy = vec[y].T.copy()
             d = np.zeros((len(x), len(y)), np.uint16)
@@ -206,53 +243,64 @@ def compare_tiles(da: np.ndarray, db: np.ndarray, vec: np.ndarray, size: np.ndar
     return np.concatenate(found)
 
 
-def candidate_pairs(reps: DataFrame, rows: int, k: int, least_words: int, num: int, den: int, hot: int = HOT, table_bits: int = TABLE_BITS, bucket: int = BUCKET) -> DataFrame:
-    """Distinct pairs (a < b) of representatives whose bit vectors lie within the radius."""
-    spark = reps.sparkSession
-    table = spark.sparkContext.broadcast(frequency_table(reps, k, least_words, table_bits))
-    mask = np.uint64((1 << table_bits) - 1)
-    buckets = max(12, -(-rows * 48 // bucket))
+class Totals(NamedTuple):
+    """Sums over all sets: how many, their elements, the elements of their prefixes, characters of text."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = table.value
-        for b in _slices(batches):
-            row, g = shingles(b.column(1), k, least_words)
-            if not len(row):
-                continue
-            vec = fold(row, g, len(b))
-            size = np.bincount(row, minlength=len(b))
-            f = freq[(g & mask).astype(np.int64)]
-            order = np.lexsort((g, f, row))
-            row, g, f = row[order], g[order], f[order].astype(np.int64)
-            n = size[row]
-            rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-            keep = (rank < n - (num * n + den - 1) // den + 1) & (f > 1)
-            row, g, f = row[keep], g[keep], f[keep]
-            ids = b.column(0).to_numpy()
-            is_hot = f > hot
-            key = (g % np.uint64(buckets)).astype(np.int64)
-            tile = np.zeros(len(row), np.int64)
-            if is_hot.any():
-                parts = -(-f[is_hot] // hot)
-                r, e = np.repeat(row[is_hot], parts), np.repeat(g[is_hot], parts)
-                own = (ids[r].astype(np.uint64) * _ODD >> np.uint64(40)).astype(np.int64) % np.repeat(parts, parts)
-                other = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
-                lo, hi = np.minimum(own, other), np.maximum(own, other)
-                block = ((e ^ (lo * 65537 + hi + 1).astype(np.uint64)) * _ODD >> np.uint64(2)).astype(np.int64) | np.int64(1 << 61)
-                # a block of two tiles: 1 and 2 tell them apart; of one tile: 3
-                side = np.where(lo == hi, 3, np.where(own == lo, 1, 2))
-                row, g = np.append(row[~is_hot], r), np.append(g[~is_hot], e)
-                key, tile = np.append(key[~is_hot], block), np.append(tile[~is_hot], side)
-            order = np.argsort(key, kind="stable")
-            row, g, key, tile = row[order], g[order], key[order], tile[order]
-            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            keys, cols = [], [[], [], [], [], [], []]
-            for a, z in zip(cuts, np.append(cuts[1:], len(key))):
-                docs, local = np.unique(row[a:z], return_inverse=True)
-                keys.append(int(key[a]))
-                for c, x in zip(cols, (ids[docs], size[docs].astype(np.int32), vec[docs], g[a:z], local.astype(np.uint16), tile[a:z].astype(np.uint8))):
-                    c.append(np.ascontiguousarray(x).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["key", "ids", "sizes", "vecs", "elements", "locals", "tiles"])
+    sets: int
+    elements: int
+    prefixes: int
+    chars: int
+
+
+def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, num: int, den: int, hot: int = HOT, range_bits: int = RANGE_BITS, bucket: int = BUCKET) -> DataFrame:
+    """Distinct pairs (a < b) of representatives (id, text) whose bit vectors lie within the radius.
+
+    ``totals`` are sums over all of them, by which packs, the table of frequencies and the buckets of
+    blocks are sized.
+    """
+    bits = min(53, max(10, (totals.elements * CELLS).bit_length()))
+    buckets = max(12, -(-totals.prefixes // bucket))
+    packs = max(1, -(-totals.sets // PACK_SETS), -(-totals.chars // PACK_CHARS))
+    packed = reps.select(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack"), "id", "text")
+
+    def spread(t: pa.Table, counted: pa.Table) -> pa.Table:
+        row, g, _, back, _ = _cells(t.column("text").combine_chunks(), k, least_words, bits)
+        order = np.argsort(counted.column("part").to_numpy())
+        half = b"".join(x for x in counted.column("totals").take(pa.array(order)).to_pylist())
+        f = (np.frombuffer(half, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.int64)[back]
+        vec = fold(row, g, len(t))
+        size = np.bincount(row, minlength=len(t))
+        order = np.lexsort((g, f, row))
+        row, g, f = row[order], g[order], f[order]
+        n = size[row]
+        rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+        keep = (rank < n - (num * n + den - 1) // den + 1) & (f > 1)
+        row, g, f = row[keep], g[keep], f[keep]
+        ids = t.column("id").to_numpy()
+        is_hot = f > hot
+        key = (g % np.uint64(buckets)).astype(np.int64)
+        tile = np.zeros(len(row), np.int64)
+        if is_hot.any():
+            parts = -(-f[is_hot] // hot)
+            r, e = np.repeat(row[is_hot], parts), np.repeat(g[is_hot], parts)
+            own = (ids[r].astype(np.uint64) * _ODD >> np.uint64(40)).astype(np.int64) % np.repeat(parts, parts)
+            other = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
+            lo, hi = np.minimum(own, other), np.maximum(own, other)
+            block = ((e ^ (lo * 65537 + hi + 1).astype(np.uint64)) * _ODD >> np.uint64(2)).astype(np.int64) | np.int64(1 << 61)
+            # a block of two tiles: 1 and 2 tell them apart; of one tile: 3
+            side = np.where(lo == hi, 3, np.where(own == lo, 1, 2))
+            row, g = np.append(row[~is_hot], r), np.append(g[~is_hot], e)
+            key, tile = np.append(key[~is_hot], block), np.append(tile[~is_hot], side)
+        order = np.argsort(key, kind="stable")
+        row, g, key, tile = row[order], g[order], key[order], tile[order]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        keys, cols = [], [[], [], [], [], [], []]
+        for a, z in zip(cuts, np.append(cuts[1:], len(key))):
+            docs, local = np.unique(row[a:z], return_inverse=True)
+            keys.append(int(key[a]))
+            for c, x in zip(cols, (ids[docs], size[docs].astype(np.int32), vec[docs], g[a:z], local.astype(np.uint16), tile[a:z].astype(np.uint8))):
+                c.append(np.ascontiguousarray(x).tobytes())
+        return pa.table([pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["key", "ids", "sizes", "vecs", "elements", "locals", "tiles"])
 
     def compare(t: pa.Table) -> pa.Table:
         col = {c: t.column(c).to_pylist() for c in ("ids", "sizes", "vecs", "elements", "locals", "tiles")}
@@ -276,7 +324,8 @@ def candidate_pairs(reps: DataFrame, rows: int, k: int, least_words: int, num: i
         a, b = ids[pair[:, 0]], ids[pair[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    blocks = reps.select("id", "text").mapInArrow(spread, "key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary")
+    counted = frequencies(packed, k, least_words, bits, range_bits)
+    blocks = packed.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(spread, "key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary")
     return blocks.groupBy("key").applyInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
 
 
@@ -311,15 +360,17 @@ class Similar:
     texts are compared whole; an empty table gives empty results.
     """
 
-    def __init__(self, df: DataFrame, key: str = "result_id", text: str = "full_text", k: int = 3, num: int = 3, den: int = 5, least_words: int = 20, hot: int = HOT, table_bits: int = TABLE_BITS, bucket: int = BUCKET):
+    def __init__(self, df: DataFrame, key: str = "result_id", text: str = "full_text", k: int = 3, num: int = 3, den: int = 5, least_words: int = 20, hot: int = HOT, range_bits: int = RANGE_BITS, bucket: int = BUCKET):
+        self.hot = hot
         sets = distinct_sets(df, key, text, k, least_words)
-        self.reps = kept(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("text").alias("text")))
+        self.reps = kept(sets.groupBy("sig").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("text").alias("text")))
         ids = sets.select("id", "sig")
         self.members = ids.join(self.reps.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep").distinct()
-        rows = self.reps.count()
+        prefix = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
+        totals = Totals(*(x or 0 for x in self.reps.agg(F.count("*"), F.sum("n"), F.sum(prefix), F.sum(F.length("text"))).first()))
         # one id may stand for several sets, so sets are numbered by their signature
         texts = self.reps.select(F.xxhash64("sig").alias("id"), "text")
-        found = verified(candidate_pairs(texts, rows, k, least_words, num, den, hot, table_bits, bucket), texts, k, least_words, num, den)
+        found = verified(candidate_pairs(texts, totals, k, least_words, num, den, hot, range_bits, bucket), texts, k, least_words, num, den)
         name = self.reps.select(F.xxhash64("sig").alias("h"), "id")
         self.pairs = (
             found.join(name.select(F.col("h").alias("a"), F.col("id").alias("ia")), "a")
@@ -328,10 +379,20 @@ class Similar:
         )
 
     def all_pairs(self, names: tuple[str, str] = ("result_id_a", "result_id_b")) -> DataFrame:
-        """Every pair of ids (a < b) that are similar, copies included."""
+        """Every pair of ids (a < b) that are similar, copies included.
+
+        A class of more than ``hot`` copies is dealt over tiles, and each pair of its tiles is a key of its own.
+        """
         m = self.members
         between = self.pairs.select("a", "b").join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-        inside = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y")
+        copies = m.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+        tiles = F.ceil(F.col("n") / self.hot).cast("int")
+        dealt = m.join(copies, "rep").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.select("rep", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "own")
+        left, right = dealt.toDF("rep", "lo", "hi", "x", "p"), dealt.toDF("rep", "lo", "hi", "y", "q")
+        # of two members that meet in a block of two tiles, each is from its own one
+        inside = left.join(right, ["rep", "lo", "hi"]).where("x < y AND least(p, q) = lo AND greatest(p, q) = hi")
         out = between.select("x", "y").union(inside.select("x", "y")).where("x <> y")
         return out.select(F.least("x", "y").alias(names[0]), F.greatest("x", "y").alias(names[1])).distinct()
 

@@ -40,10 +40,12 @@ def rows():
     return out + out[:10]
 
 
-@pytest.mark.parametrize("hot,table_bits,bucket", [(20_000, 22, 250_000), (10, 22, 500), (3, 8, 100)])
-def test_pairs_equal_brute_force(spark, rows, hot, table_bits, bucket):
+@pytest.mark.parametrize("hot,range_bits,bucket", [(neardup.HOT, neardup.RANGE_BITS, neardup.BUCKET), (10, 12, 500), (3, 8, 100)])
+def test_pairs_equal_brute_force(spark, rows, hot, range_bits, bucket, monkeypatch):
+    if bucket < neardup.BUCKET:
+        monkeypatch.setattr(neardup, "PACK_SETS", bucket // 20)
     df = spark.createDataFrame(rows, "id long, text string").repartition(4)
-    s = neardup.Similar(df, "id", "text", hot=hot, table_bits=table_bits, bucket=bucket)
+    s = neardup.Similar(df, "id", "text", hot=hot, range_bits=range_bits, bucket=bucket)
     got = [tuple(r) for r in s.all_pairs(("a", "b")).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
@@ -80,6 +82,38 @@ def test_classes_and_links(spark, rows):
     assert {i for i, (_, n) in got.items() if n} == {x for p in pairs for x in p}
 
 
+def test_frequencies_of_cells(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefghij") for _ in range(30)) for _ in range(300)]
+    df = spark.createDataFrame([(i % 7, i, t) for i, t in enumerate(texts)], "pack long, id long, text string")
+    row, g = neardup.shingles(texts, 3, 20)
+    want = Counter(g.tolist())
+    mask, low = (1 << 30) - 1, 20
+    shared = Counter()
+    for x, n in want.items():
+        shared[x & mask] += n
+    seen = 0
+    for r in neardup.frequencies(df, 3, 20, 30, low).collect():
+        own = np.unique(np.concatenate([g[row == i] for i in range(r["pack"], 300, 7)]) & np.uint64(mask))
+        own = own[own >> np.uint64(low) == r["part"]]
+        f = (np.frombuffer(r["totals"], np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
+        assert len(f) == len(own) and all(0.99 * shared[c] <= x <= shared[c] for c, x in zip(own.tolist(), f.tolist()))
+        seen += len(own)
+    assert seen == sum(len(set((g[np.isin(row, range(p, 300, 7))] & np.uint64(mask)).tolist())) for p in range(7))
+
+
+def test_a_hot_class_gives_every_pair_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(60)] + [(100, text + " x")], "id long, text string")
+    for hot in (1000, 7):
+        got = [tuple(r) for r in neardup.Similar(df, "id", "text", hot=hot).all_pairs().collect()]
+        assert len(got) == len(set(got)) == 61 * 60 // 2
+
+
 def test_folded_difference_never_exceeds_the_true_one():
     import numpy as np
 
