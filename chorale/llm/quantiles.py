@@ -2,27 +2,35 @@
 
 Rows are first reduced to counts per group and value, which combine on the map side, so a value
 or group that holds a third of all rows costs one row per task. The counts are range-sorted by
-group and value over all partitions and kept in the shared folder; each partition's totals per group
-(a few rows) give the offset that its window running sums start from; the first value whose running
-count reaches the target rank is the percentile.
+group and value over all partitions and kept in the shared folder as a table bucketed by partition;
+each partition's totals per group (a few rows) give the offset that its window running sums start from;
+the first value whose running count reaches the target rank is the percentile. As partitions are
+buckets, neither totals nor running sums shuffle the table again.
 
 The frequency table is the state that combines: tables of days, shards or sources are added value
 by value, and percentiles of any period come from the sum. With ``digits=None`` values are exact and
 so are the percentiles (nearest rank). With ``digits=d`` values are rounded to d significant digits
 before counting, which bounds the table's size and gives a relative error of at most
-``0.5 * 10 ** (1 - d)``.
+``0.5 * 10 ** (1 - d)``. Percentiles need no more than partial counts: where the table itself isn't
+wanted, ``partial=True`` leaves the counts of each task as they are and saves their shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import kept
+from ..session import bucket_keys, kept, kept_in_buckets
 
 NAMES = ("value", "n")
+#: Offsets (a row a group and partition) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Rows that a task counts at once.
+AT_ONCE = 500_000
 
 
 def rounded(value: Column, digits: int | None) -> Column:
@@ -33,15 +41,40 @@ def rounded(value: Column, digits: int | None) -> Column:
     return F.round(value / step, 0) * step
 
 
-def frequencies(df: DataFrame, groups: Sequence[str], value: Column, digits: int | None = None, names: tuple[str, str] = NAMES) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (groups, v) as counts per group and value of some batches at a time."""
+
+    def count(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        out = t.group_by(t.column_names).aggregate([([], "count_all")])
+        yield from out.rename_columns([*t.column_names, "n"]).combine_chunks().to_batches()
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += len(b)
+        if rows >= AT_ONCE:
+            yield from count(held)
+            held, rows = [], 0
+    if rows:
+        yield from count(held)
+
+
+def frequencies(df: DataFrame, groups: Sequence[str], value: Column, digits: int | None = None, names: tuple[str, str] = NAMES, partial: bool = False) -> DataFrame:
     """Counts per group and value: columns ``groups``, then ``names``. Other columns are ignored.
 
+    With ``partial`` a group and value may have several rows whose counts add up: nothing is shuffled.
+
     NULL, NaN, infinite, zero and negative values are no measurements and left out; a NULL group
     column is a group of its own.
     """
     keys = [f"g{i}" for i in range(len(groups))]
     src = df.select(*[F.col(f"`{g}`").alias(k) for g, k in zip(groups, keys)], value.cast("double").alias("v")).where((F.col("v") > 0) & (F.col("v") < float("inf")))
-    counts = src.withColumn("v", rounded(F.col("v"), digits)).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    src = src.withColumn("v", rounded(F.col("v"), digits))
+    if partial:
+        counts = src.mapInArrow(_counted, T.StructType([*src.schema.fields, T.StructField("n", T.LongType())]))
+    else:
+        counts = src.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     return counts.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("v").alias(names[0]), F.col("n").alias(names[1]))
 
 
@@ -58,7 +91,8 @@ def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str]
     """Nearest-rank percentiles of a frequency table: columns ``groups``, ``permille``, then ``names``.
 
     The p-permille value is the smallest value whose running count reaches ``ceil(p * n / 1000)``
-    (at least 1). The last column is the count of the group. Groups without counts give no row.
+    (at least 1). The last column is the count of the group. Groups without counts give no row. A group
+    and value may have several rows.
 
     ``levels`` are sets of group columns (all of them, unless told otherwise); each gives its own rows,
     with NULL in the columns that it leaves out. One sorted table serves all levels: it is in the order
@@ -72,7 +106,11 @@ def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str]
     shared = [keys[g] for g in groups if all(g in level for level in levels)]
     src = freq.select(*[F.col(f"`{g}`").alias(k) for g, k in keys.items()], F.col(f"`{value}`").alias("value"), F.col(f"`{n}`").alias("n")).where("n > 0")
     # kept once: bounds of a range partitioning come from a sample, and all readers must see the same
-    table = kept(src.repartitionByRange(*shared, "value").sortWithinPartitions(*shared, "value").withColumn("part", F.spark_partition_id()))
+    spark = freq.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id()
+    ranged = src.repartitionByRange(parts, *shared, "value").withColumn("part", part)
+    table = kept_in_buckets(ranged.withColumn("place", F.get(F.lit(bucket_keys(spark, parts)), part)), parts, "place", ("place", *shared, "value"))
     out = None
     for level in levels:
         hits = _level(table, [keys[g] for g in groups if g in level], permille)
@@ -84,17 +122,20 @@ def percentiles(freq: DataFrame, permille: Sequence[int], names: tuple[str, str]
 
 def _level(table: DataFrame, keys: list[str], permille: Sequence[int]) -> DataFrame:
     """Percentiles by ``keys`` of the sorted table: keys, p, value, total."""
-    sums = table.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+    sums = table.groupBy("place", *keys).agg(F.sum("n").alias("m"), F.first("part").alias("part"))
     by_group = Window.partitionBy(*keys)
-    offsets = sums.select(
-        *keys, "part",
+    offsets = kept(sums.select(
+        "place", *keys,
         (F.sum("m").over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")).alias("before"),
         F.sum("m").over(by_group).alias("total"),
-    )
-    # an offset stands before the values of its part of the group, so one running sum holds both
-    first = offsets.select(*keys, "part", F.lit(None).cast("double").alias("value"), F.col("before").alias("n"), "total")
-    rows = table.select(*keys, "part", "value", "n", F.lit(None).cast("bigint").alias("total")).unionByName(first)
-    up = Window.partitionBy(*keys, "part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = rows.select(*keys, "value", "n", F.sum("n").over(up).alias("cum"), F.first("total").over(up).alias("total")).where("value IS NOT NULL")
+    ))
+    named = offsets.toDF("o_place", *[f"o_{k}" for k in keys], "before", "total")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    same = F.col("place") == F.col("o_place")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    up = Window.partitionBy("place", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = table.join(named, same).select(*keys, "value", "n", "total", (F.col("before") + F.sum("n").over(up)).alias("cum"))
     ranks = F.array(*[F.expr(f"struct({int(p)} AS p, greatest(1L, (total * {int(p)} + 999) div 1000) AS r)") for p in permille])
     return full.select(*keys, "value", "total", F.inline(F.filter(ranks, lambda x: (x["r"] <= F.col("cum")) & (x["r"] > F.col("cum") - F.col("n"))))).select(*keys, "p", "value", "total")

@@ -143,7 +143,7 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The frequencies of the days add up to those of the whole period, whose ``day`` is NULL.
     """
-    daily = quantiles.frequencies(_timings(spark, sf_dir), ["day", *GROUPS], F.col("transcription_time"))
+    daily = quantiles.frequencies(_timings(spark, sf_dir), ["day", *GROUPS], F.col("transcription_time"), partial=True)
     return quantiles.percentiles(daily, PERMILLE, levels=[["day", *GROUPS], GROUPS])
 
 
@@ -234,6 +234,23 @@ c AS (SELECT a.result_id AS x, b.result_id AS y, count(*) AS m FROM s a JOIN s b
 SELECT x AS result_id_a, y AS result_id_b FROM c JOIN n p ON p.result_id = x JOIN n q ON q.result_id = y WHERE 5 * m >= 3 * (p.n + q.n - m)
 """
 
+#: One row a result: the least result of its class over any number of links, and its own links to other sets and to copies.
+_CLASSES = r"""
+WITH RECURSIVE t AS (SELECT DISTINCT result_id, regexp_extract_all(lower(full_text), '[\p{L}\p{N}]+') AS w FROM transcription_results WHERE full_text IS NOT NULL),
+k AS (SELECT result_id, w FROM t WHERE len(w) >= 20),
+s AS (SELECT DISTINCT result_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT result_id, w, unnest(range(1, len(w) - 1)) AS i FROM k)),
+l AS (SELECT result_id, list(g ORDER BY g) AS own FROM s GROUP BY 1),
+m AS (SELECT result_id, min(result_id) OVER (PARTITION BY own) AS rep, count(*) OVER (PARTITION BY own) - 1 AS copies, len(own) AS n FROM l),
+e AS (SELECT s.result_id, g FROM s JOIN m ON m.result_id = s.result_id AND m.rep = m.result_id),
+c AS (SELECT a.result_id AS x, b.result_id AS y, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.result_id < b.result_id GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN m u ON u.result_id = x JOIN m v ON v.result_id = y WHERE 5 * c.m >= 3 * (u.n + v.n - c.m)),
+b AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT DISTINCT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y),
+d AS (SELECT x, min(y) AS least FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS links FROM b GROUP BY x)
+SELECT m.result_id, coalesce(d.least, m.rep) AS class_id, coalesce(n.links, 0) + m.copies AS n_links FROM m LEFT JOIN d ON d.x = m.rep LEFT JOIN n ON n.x = m.rep
+"""
+
 _PIECES = """
 WITH RECURSIVE x AS (SELECT DISTINCT ON (result_id) result_id, segments FROM transcription_results WHERE segments IS NOT NULL),
 u AS (SELECT result_id, unnest(segments) AS g FROM x),
@@ -295,6 +312,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p8_found": _LEAKED,
         "p4_found": _PAIRS,
+        "p4_classes": _CLASSES,
         "p5_found": _PIECES,
         "p5_pause_cuts": _PAUSES,
         "p6_percentiles": _percentile_sql("timing_id", "transcription_timings", "logged_at"),
