@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, kept
+from ..session import bucket_keys, cut, kept
 
 BITS = 512
 TILE = 512
@@ -49,6 +49,8 @@ PACK_SETS, PACK_CHARS = 2000, 8_000_000
 HOT = 20_000
 #: Elements per bucket of blocks that one task takes at once, on average.
 BUCKET = 250_000
+#: Tasks that the buckets are dealt out to at most.
+MAX_TASKS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -260,6 +262,8 @@ def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, n
     """
     bits = min(53, max(10, (totals.elements * CELLS).bit_length()))
     buckets = max(12, -(-totals.prefixes // bucket))
+    tasks = min(buckets, MAX_TASKS)
+    places = np.array(bucket_keys(reps.sparkSession, tasks), np.int64)  # every task has as many buckets
     packs = max(1, -(-totals.sets // PACK_SETS), -(-totals.chars // PACK_CHARS))
     packed = reps.select(F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack"), "id", "text")
 
@@ -300,7 +304,8 @@ def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, n
             keys.append(int(key[a]))
             for c, x in zip(cols, (ids[docs], size[docs].astype(np.int32), vec[docs], g[a:z], local.astype(np.uint16), tile[a:z].astype(np.uint8))):
                 c.append(np.ascontiguousarray(x).tobytes())
-        return pa.table([pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["key", "ids", "sizes", "vecs", "elements", "locals", "tiles"])
+        place = places[np.array(keys, np.int64) % tasks]
+        return pa.table([pa.array(place), pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["place", "key", "ids", "sizes", "vecs", "elements", "locals", "tiles"])
 
     def compare(t: pa.Table) -> pa.Table:
         col = {c: t.column(c).to_pylist() for c in ("ids", "sizes", "vecs", "elements", "locals", "tiles")}
@@ -325,8 +330,8 @@ def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, n
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     counted = frequencies(packed, k, least_words, bits, range_bits)
-    blocks = packed.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(spread, "key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary")
-    return blocks.groupBy("key").applyInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
+    blocks = packed.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(spread, "place bigint, key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary")
+    return blocks.repartition(tasks, "place").groupBy("place", "key").applyInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def verified(pairs: DataFrame, reps: DataFrame, k: int, least_words: int, num: int, den: int) -> DataFrame:
