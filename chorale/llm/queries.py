@@ -68,7 +68,7 @@ def p1_token_budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     count = tokens.token_counter(spark)
     t = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("usable"), F.length("text").alias("chars"), count(F.col("text")).alias("tokens"))
-    spoken = _document_languages(spark, sf_dir).where("seg_no = -1").select("doc_id", F.col("lang").alias("language"))
+    spoken = _document_languages(spark, sf_dir, False).select("doc_id", F.col("lang").alias("language"))
     about = _shares(spark, sf_dir).groupBy("doc_id").agg(F.max(F.struct("words", "subject")).alias("s")).select("doc_id", F.col("s.subject").alias("domain"))
     t = t.join(spoken, "doc_id", "left").join(about, "doc_id", "left").na.fill({"language": "?", "domain": "none"})
     return _budget(t, ["source", "language", "domain"])
@@ -101,15 +101,15 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result_languages(spark, sf_dir).select("result_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence")).distinct()
 
 
-def _document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _document_languages(spark: SparkSession, sf_dir: str, lines: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = language.train(docs, "doc_id", "text", "lang")
-    return language.languages(docs, machine, "doc_id", "text", F.split("text", "\\R"))
+    return language.languages(docs, machine, "doc_id", "text", F.split("text", "\\R") if lines else None)
 
 
 def p2_document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every document of 20 words or more, and of its lines in another language."""
-    return _document_languages(spark, sf_dir).select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
+    return _document_languages(spark, sf_dir, True).select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
