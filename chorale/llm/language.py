@@ -236,7 +236,7 @@ def fit(snippets: list[str], labels: list[str], owners: Sequence[int] | None = N
     if len(real) >= 2 and len(real) < len(codes):
         of = np.isin(y, real)
         snippets, owner, y = [s for s, ok in zip(snippets, of) if ok], owner[of], np.searchsorted(real, y[of])
-        codes = [codes[c] for c in real]
+        codes, share = [codes[c] for c in real], share[real]
     n = len(codes)
     even = np.ones(n)
     chosen = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:landmarks] for c in range(n)])
@@ -246,7 +246,8 @@ def fit(snippets: list[str], labels: list[str], owners: Sequence[int] | None = N
     keep = np.ones(len(y), bool)
     held = np.zeros((len(y), n))
     for r in range(rounds):
-        held = _held(phi, y, half, keep, even, ridge * (10 if r == 0 else 1))[0]
+        # at first larger languages weigh more, as wrong labels mostly hide texts of theirs in small ones
+        held = _held(phi, y, half, keep, np.sqrt(share) if r == 0 else even, ridge * (10 if r == 0 else 1))[0]
         now = held.argmax(1) == y
         now |= np.isin(y, np.flatnonzero(np.bincount(y[now], minlength=n) < 4))  # too few to judge
         if (now == keep).all():
@@ -258,7 +259,7 @@ def fit(snippets: list[str], labels: list[str], owners: Sequence[int] | None = N
         z = z - z.max(1, keepdims=True)
         losses.append((-(z[np.arange(len(z)), y[keep]] - np.log(np.exp(z).sum(1))).mean(), scale))
     w = _ridge(phi[keep], y[keep], even, ridge)
-    gap, floor = _calibrate(space, snippets, phi, y, owner, half, keep, ridge, share[real] if len(share) != n else share)
+    gap, floor = _calibrate(space, snippets, phi, y, owner, half, keep, ridge, share)
     return Machine(space.weights(w[:-1]), w[-1].astype(np.float32), float(min(losses)[1]), codes, gap, floor)
 
 
