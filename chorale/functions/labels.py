@@ -19,6 +19,47 @@ LANGUAGES = {
     "tr": ("tur", "turkish", "türkçe", "turkce"),
     "ru": ("rus", "russian", "русский"),
     "ja": ("jpn", "japanese", "日本語"),
+    "af": ("afr", "afrikaans"),
+    "ar": ("ara", "arabic"),
+    "az": ("aze", "azerbaijani"),
+    "bg": ("bul", "bulgarian"),
+    "br": ("bre", "breton"),
+    "ca": ("cat", "catalan", "valencian"),
+    "cs": ("ces", "cze", "czech"),
+    "cy": ("cym", "wel", "welsh"),
+    "da": ("dan", "danish"),
+    "el": ("ell", "gre", "greek"),
+    "et": ("est", "estonian"),
+    "eu": ("eus", "baq", "basque"),
+    "fa": ("fas", "per", "persian", "farsi"),
+    "fi": ("fin", "finnish"),
+    "ga": ("gle", "irish"),
+    "gl": ("glg", "galician"),
+    "he": ("heb", "hebrew"),
+    "hi": ("hin", "hindi"),
+    "hr": ("hrv", "croatian"),
+    "ht": ("hat", "haitian creole"),
+    "hu": ("hun", "hungarian"),
+    "id": ("ind", "indonesian"),
+    "is": ("isl", "ice", "icelandic"),
+    "ko": ("kor", "korean"),
+    "la": ("lat", "latin"),
+    "lt": ("lit", "lithuanian"),
+    "lv": ("lav", "latvian"),
+    "ms": ("msa", "may", "malay"),
+    "nn": ("nno", "nynorsk"),
+    "no": ("nor", "nb", "nob", "norwegian", "bokmål"),
+    "ro": ("ron", "rum", "romanian"),
+    "sk": ("slk", "slo", "slovak"),
+    "sl": ("slv", "slovenian"),
+    "sr": ("srp", "serbian"),
+    "sw": ("swa", "swahili"),
+    "th": ("tha", "thai"),
+    "tl": ("tgl", "tagalog", "filipino"),
+    "uk": ("ukr", "ukrainian"),
+    "vi": ("vie", "vietnamese"),
+    "yo": ("yor", "yoruba"),
+    "zh": ("zho", "chi", "chinese", "mandarin"),
 }
 
 #: Labels that say that the language isn't known.

@@ -193,6 +193,14 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_files(spark, root, strict=True).groupBy("isrc", "audio_type").agg(F.count("*").alias("files"), F.min(paths.file_name(F.col("path"))).alias("first_name"))
 
 
+def tree_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first file of a written tree, taken by itself."""
+    files = _files(spark, sf_dir).select("isrc", paths.file_name(F.col("path")).alias("name"), "length")
+    root = _written(spark, files, False)
+    path = audio.audio_files(spark, root).agg(F.min("path")).first()[0]
+    return audio.single_file(spark, path.removeprefix("file:")).select("isrc", paths.file_name(F.col("path")).alias("name"), "audio_type")
+
+
 def tree_without_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of originals and of what the finetuned separator left; folders without any of the latter."""
     files = _files(spark, sf_dir).select("isrc", paths.file_name(F.col("path")).alias("name"), "length").where("name IN ('audio.mp3', 'demucs_ft.wav')")
@@ -404,7 +412,7 @@ def queries() -> dict[str, Query]:
         for f in (
             p3_found, p3_folder_coverage, isrc_from_path, path_join, file_stem, audio_type_map, audio_extension_filter, wav_union_mp3, folders_without_audio, first_match,
             unavailable_models, open_segments, segments_flatten, segments_count, segment_projection, transcript_full_text, segment_clock, report_lines, chunk_30s, batch_assign,
-            tree_scan, tree_without_audio, tree_separate, stub_transcribe, stub_error_capture, transcribe_record, stored_failures, timing_display, run_summary, run_summary_empty, realtime_factor, transcription_speed, alignment_share, language_share, train_test_split,
+            tree_scan, tree_single_file, tree_without_audio, tree_separate, stub_transcribe, stub_error_capture, transcribe_record, stored_failures, timing_display, run_summary, run_summary_empty, realtime_factor, transcription_speed, alignment_share, language_share, train_test_split,
             model_backend_matrix, experiment_grid, other_models, grid_coverage, missing_versions, latest_result, latest_per_work, skip_finished, json_record, append_twice, stream_ingest,
             wer_per_item, wer_corpus,
         )

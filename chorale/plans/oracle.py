@@ -84,6 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "wer_per_item": _EDITS + "SELECT result_id, reference_id, edits, reference_words, round(CAST(edits AS DOUBLE) / nullif(reference_words, 0), 6) AS wer FROM e",
         "wer_corpus": _EDITS + "SELECT model_name, whisper_implementation, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(reference_words) AS BIGINT) AS reference_words, round(CAST(sum(edits) AS DOUBLE) / nullif(sum(reference_words), 0), 6) AS wer FROM e GROUP BY 1, 2",
         "tree_scan": f"SELECT isrc, {_type('unknown')} AS audio_type, count(*) AS files, min(name) AS first_name FROM {_TREE} WHERE regexp_matches(name, '\\.(wav|mp3)$') GROUP BY 1, 2",
+        "tree_single_file": f"SELECT isrc, name, {_type('regular')} AS audio_type FROM {_TREE} ORDER BY isrc || '/' || name LIMIT 1",
         "tree_without_audio": f"SELECT isrc FROM {_TREE} WHERE name IN ('audio.mp3', 'demucs_ft.wav') GROUP BY isrc HAVING count(*) FILTER (name LIKE '%.wav') = 0",
         "tree_separate": f"""
 SELECT isrc, 100 + length % 400 AS frames, 2::BIGINT AS channels, 16000::BIGINT AS rate, CAST(list_sum([(k * 7919 + length) % 65536 - 32768 FOR k IN range(100 + length % 400)]) AS BIGINT) AS total, count(*) OVER () AS separated
