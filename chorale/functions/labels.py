@@ -26,7 +26,6 @@ LANGUAGES = {
     "br": ("bre", "breton"),
     "ca": ("cat", "catalan", "valencian"),
     "cs": ("ces", "cze", "czech"),
-    "cy": ("cym", "wel", "welsh"),
     "da": ("dan", "danish"),
     "el": ("ell", "gre", "greek"),
     "et": ("est", "estonian"),
@@ -59,7 +58,6 @@ LANGUAGES = {
     "uk": ("ukr", "ukrainian"),
     "vi": ("vie", "vietnamese"),
     "yo": ("yor", "yoruba"),
-    "zh": ("zho", "chi", "chinese", "mandarin"),
 }
 
 #: Labels that say that the language isn't known.
