@@ -140,23 +140,29 @@ class Space:
 
     def __init__(self, landmarks: list[str]):
         row, f = grams(landmarks)
-        self.used, back = np.unique(f, return_inverse=True)
-        self.at = np.zeros(1 << GRAM_BITS, np.int64)
-        self.at[self.used] = np.arange(1, len(self.used) + 1)
         m = len(landmarks)
-        self.span = np.zeros((len(self.used) + 1, m), np.float32)  # presence of grams in landmarks, scaled
-        self.span[back + 1, row] = 1.0
-        self.span /= np.sqrt(np.maximum(np.bincount(row, minlength=m), 1))[None, :]
-        k = self.kernel(landmarks).astype(np.float64)
+        self.used, back = np.unique(f, return_inverse=True)
+        self.scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=m), 1))
+        self.span = np.zeros((len(self.used), m), np.float32)  # presence of grams in landmarks, scaled
+        self.span[back, row] = self.scale[row]
+        # the landmarks that hold each gram
+        self.holders = row[np.argsort(f, kind="stable")]
+        self.many = np.bincount(f, minlength=1 << GRAM_BITS)
+        self.first = np.cumsum(self.many) - self.many
+        k = self.kernel(landmarks)
         value, vector = np.linalg.eigh((k + k.T) / 2 + 1e-6 * np.eye(m))
         self.root = vector / np.sqrt(np.maximum(value, 1e-6))
 
     def kernel(self, snippets: list[str]) -> np.ndarray:
-        parts = []
+        """Grams in common with each landmark, over the geometric mean of both numbers."""
+        m, parts = len(self.scale), []
         for a in range(0, len(snippets), 64):
             part = snippets[a : a + 64]
             row, f = grams(part)
-            parts.append(_product(row, self.at[f], self.span, len(part)))
+            n = self.many[f]
+            at = np.repeat(self.first[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(np.repeat(row * m, n) + self.holders[at], minlength=len(part) * m).reshape(len(part), m)
+            parts.append(common * self.scale / np.sqrt(np.maximum(np.bincount(row, minlength=len(part)), 1))[:, None])
         return np.concatenate(parts)
 
     def features(self, snippets: list[str]) -> np.ndarray:
@@ -169,7 +175,7 @@ class Space:
     def weights(self, w: np.ndarray) -> np.ndarray:
         """Gram weights of weights on the features."""
         out = np.zeros((1 << GRAM_BITS, w.shape[1]), np.float32)
-        out[self.used] = self.span[1:] @ (self.root @ w).astype(np.float32)
+        out[self.used] = self.span @ (self.root @ w).astype(np.float32)
         return out
 
 
