@@ -10,8 +10,11 @@ lost. Pairs within the radius are verified on their texts.
 Comparing all with all would be quadratic, so vectors meet in blocks that lose nothing: if two sets
 reach the threshold t, the first ``n - ceil(t * n) + 1`` elements of both, in one order common to
 all, share an element. The order is by frequency, rare first; elements of one set only are in no block. A
-block holds the sets with one element in common; inside it, vectors are compared tile against tile with
-numpy's exclusive-or and bit count, and a tile pair is skipped when population counts (or sizes) differ
+block holds the sets with one element in common and the element's rank in each. Of the first element
+that two sets share, ``n - rank`` bounds what they have in common, and with that the other's size
+(``reach``): sets that can't reach each other needn't meet in this block, because similar ones do in
+that of their first element. Inside a block, vectors are compared tile against tile with numpy's
+exclusive-or and bit count, and a tile pair is skipped when population counts, sizes or reaches differ
 beyond the radius. Elements that are more frequent than ``hot`` are salted: their sets are spread over k
 tiles and each pair of tiles is a block of its own.
 
@@ -28,6 +31,7 @@ out, never the pairs compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -52,15 +56,16 @@ BUCKET = 250_000
 #: Tasks that the buckets are dealt out to at most.
 MAX_TASKS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_NO_WORD = r"[^\p{L}\p{N}]+"
+_NO_WORD = r"[^\p{L}\p{N} ]+"  # but for spaces, which are there to split at
 
 
 def word_lists(texts: pa.Array) -> pa.Array:
     """Runs of letters or digits of each text, case as it is; the columnar library splits whole batches."""
     spaced = pc.utf8_trim(pc.replace_substring_regex(texts, _NO_WORD, " "), " ")
-    return pc.split_pattern(spaced, " ")
+    return pc.ascii_split_whitespace(spaced)
 
 
+@lru_cache(maxsize=1 << 16)
 def word_hash(word: str) -> int:
     """Equal for words that differ in case only."""
     return xxhash.xxh64_intdigest(word.casefold().replace("\u0307", ""))
@@ -180,69 +185,80 @@ def _within(sa: np.ndarray, sb: np.ndarray, num: int, den: int) -> np.ndarray:
     return ((den - num) * (sa + sb)) // (den + num)
 
 
-def compare_lists(doc: np.ndarray, start: np.ndarray, vec: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs (n, 2) of documents within the radius in any list; lists are ascending, documents sorted by size."""
+def reach(n: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest size of a set that may be similar to one of size n, if the first element they share has this rank (from 0) in the latter.
+
+    At most ``n - rank`` elements are common, and similarity >= num/den needs ``num * (n + size) <= (num + den) * common``.
+    """
+    return (n - rank) * (den + num) // num - n
+
+
+def compare_lists(doc: np.ndarray, far: np.ndarray, start: np.ndarray, vec: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs (n, 2) of documents within the radius in any list; lists are ascending, documents sorted by size.
+
+    ``far`` is how far each entry of a list reaches. Pairs that can't reach each other are not looked at.
+    """
     found = []
     ones = np.bitwise_count(vec).sum(1).astype(np.int64)
-    end = np.append(start[1:], len(doc))
-    length = end - start
-    limit = np.searchsorted(size, size * den // num, "right")  # first document that is too large for each
+    length = np.diff(np.append(start, len(doc)))
     # short lists: all their pairs side by side
-    pos = np.flatnonzero(np.repeat(length <= 64, length))
-    stop = np.repeat(end, length)[pos]
-    many = stop - pos - 1
-    some = many > 0
-    pos, many = pos[some], many[some]
+    short = np.repeat(length <= 64, length)
+    pos = np.flatnonzero(short & (far >= size[doc]))  # those that may be the smaller one
+    span = int(size.max(initial=0)) + 1
+    base = np.repeat(np.arange(len(length)) * span, length)
+    many = np.searchsorted(base + size[doc], base[pos] + np.minimum(far[pos], span - 1), "right") - pos - 1
+    pos, many = pos[many > 0], many[many > 0]
     cuts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + 1, 200_000)) if len(pos) else []
     for a, z in zip(cuts, np.append(cuts[1:], len(pos))):
         m = many[a:z]
-        i = np.repeat(pos[a:z], m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-        i, j = doc[i], doc[j]
-        far = _within(size[i], size[j], num, den)
-        ok = (j < limit[i]) & (np.abs(ones[i] - ones[j]) <= far)  # neither sizes nor population counts differ beyond the radius
-        i, j, far = i[ok], j[ok], far[ok]
+        p = np.repeat(pos[a:z], m)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = doc[p], doc[q]
+        radius = _within(size[i], size[j], num, den)
+        ok = (far[q] >= size[i]) & (np.abs(ones[i] - ones[j]) <= radius)  # population counts don't differ beyond the radius
+        i, j, radius = i[ok], j[ok], radius[ok]
         half = vec.shape[1] // 2
         d = np.bitwise_count(vec[i, :half] ^ vec[j, :half]).sum(1)
-        ok = d <= far
-        i, j, far, d = i[ok], j[ok], far[ok], d[ok]
-        ok = d + np.bitwise_count(vec[i, half:] ^ vec[j, half:]).sum(1) <= far
+        ok = d <= radius
+        i, j, radius, d = i[ok], j[ok], radius[ok], d[ok]
+        ok = d + np.bitwise_count(vec[i, half:] ^ vec[j, half:]).sum(1) <= radius
         found.append(np.unique(i[ok].astype(np.int64) << 32 | j[ok]))
     # long lists: tile against tile
-    for s, e in zip(start[length > 64], end[length > 64]):
-        d = doc[s:e]
-        found.append(compare_tiles(d, d, vec, size, num, den, True))
+    for s, n in zip(start[length > 64], length[length > 64]):
+        d, f = doc[s : s + n], far[s : s + n]
+        found.append(compare_tiles(d, f, d, f, vec, ones, size, num, den))
     pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return np.stack([pair >> 32, pair & 0xFFFFFFFF], 1)
 
 
-def compare_tiles(da: np.ndarray, db: np.ndarray, vec: np.ndarray, size: np.ndarray, num: int, den: int, same: bool) -> np.ndarray:
-    """Packed pairs within the radius between two lists (of one list: each pair once), in tiles by population count."""
+def compare_tiles(da: np.ndarray, fa: np.ndarray, db: np.ndarray, fb: np.ndarray, vec: np.ndarray, ones: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Packed pairs within the radius of a document of the first list and one of the second that isn't smaller.
+
+    Lists are ascending, documents sorted by size; ``fa`` and ``fb`` are how far their entries reach.
+    """
     found = [np.zeros(0, np.int64)]
-    ones = np.bitwise_count(vec).sum(1).astype(np.int64)
-    da, db = da[np.argsort(ones[da], kind="stable")], db[np.argsort(ones[db], kind="stable")]
+    small = fa >= size[da]  # the others reach smaller ones only
+    da, fa, sb = da[small], fa[small], size[db]
     for a in range(0, len(da), TILE):
         x = da[a : a + TILE]
         vx, sx, px = vec[x].T.copy(), size[x].astype(np.int64), ones[x]
-        for b in range(a if same else 0, len(db), TILE):
-            y = db[b : b + TILE]
+        lo, hi = np.searchsorted(sb, sx[0]), np.searchsorted(sb, fa[a : a + TILE].max(), "right")
+        near = db[lo:hi][fb[lo:hi] >= sx[0]]
+        for b in range(0, len(near), TILE):
+            y = near[b : b + TILE]
             sy, py = size[y].astype(np.int64), ones[y]
             radius = _within(sx.max(), sy.max(), num, den)
-            if py[0] - px[-1] > radius or px[0] - py[-1] > radius:  # population counts differ beyond the radius
-                continue
-            if sy.min() * num > sx.max() * den or sx.min() * num > sy.max() * den:  # and so do sizes
+            if py.min() - px.max() > radius or px.min() - py.max() > radius:  # population counts differ beyond the radius
                 continue
             vy = vec[y].T.copy()
             d = np.zeros((len(x), len(y)), np.uint16)
             for w in range(vec.shape[1]):
                 d += np.bitwise_count(vx[w][:, None] ^ vy[w][None, :])
-            ok = d <= _within(sx[:, None], sy[None, :], num, den)
-            if same and a == b:
-                ok &= np.tri(len(x), k=-1, dtype=bool).T
-            i, j = np.nonzero(ok)
+            i, j = np.nonzero(d <= _within(sx[:, None], sy[None, :], num, den))
             i, j = x[i].astype(np.int64), y[j].astype(np.int64)
+            i, j = i[i != j], j[i != j]
             found.append(np.minimum(i, j) << 32 | np.maximum(i, j))
-    return np.concatenate(found)
+    return np.unique(np.concatenate(found))
 
 
 class Totals(NamedTuple):
@@ -279,7 +295,7 @@ def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, n
         n = size[row]
         rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
         keep = (rank < n - (num * n + den - 1) // den + 1) & (f > 1)
-        row, g, f = row[keep], g[keep], f[keep]
+        row, g, f, rank = row[keep], g[keep], f[keep], rank[keep]
         ids = t.column("id").to_numpy()
         is_hot = f > hot
         key = (g % np.uint64(buckets)).astype(np.int64)
@@ -293,44 +309,46 @@ def candidate_pairs(reps: DataFrame, totals: Totals, k: int, least_words: int, n
             block = ((e ^ (lo * 65537 + hi + 1).astype(np.uint64)) * _ODD >> np.uint64(2)).astype(np.int64) | np.int64(1 << 61)
             # a block of two tiles: 1 and 2 tell them apart; of one tile: 3
             side = np.where(lo == hi, 3, np.where(own == lo, 1, 2))
-            row, g = np.append(row[~is_hot], r), np.append(g[~is_hot], e)
+            row, g, rank = np.append(row[~is_hot], r), np.append(g[~is_hot], e), np.append(rank[~is_hot], np.repeat(rank[is_hot], parts))
             key, tile = np.append(key[~is_hot], block), np.append(tile[~is_hot], side)
         order = np.argsort(key, kind="stable")
-        row, g, key, tile = row[order], g[order], key[order], tile[order]
+        row, g, rank, key, tile = row[order], (g >> np.uint64(21)).astype(np.uint32)[order], rank[order], key[order], tile[order]
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        keys, cols = [], [[], [], [], [], [], []]
+        keys, cols = [], [[], [], [], [], [], [], []]
         for a, z in zip(cuts, np.append(cuts[1:], len(key))):
             docs, local = np.unique(row[a:z], return_inverse=True)
             keys.append(int(key[a]))
-            for c, x in zip(cols, (ids[docs], size[docs].astype(np.int32), vec[docs], g[a:z], local.astype(np.uint16), tile[a:z].astype(np.uint8))):
+            for c, x in zip(cols, (ids[docs], size[docs].astype(np.int32), vec[docs], g[a:z], local.astype(np.uint16), tile[a:z].astype(np.uint8), rank[a:z].astype(np.uint16 if rank[a:z].max() < 1 << 16 else np.uint32))):
                 c.append(np.ascontiguousarray(x).tobytes())
         place = places[np.array(keys, np.int64) % tasks]
-        return pa.table([pa.array(place), pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["place", "key", "ids", "sizes", "vecs", "elements", "locals", "tiles"])
+        return pa.table([pa.array(place), pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["place", "key", "ids", "sizes", "vecs", "elements", "locals", "tiles", "ranks"])
 
     def compare(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_pylist() for c in ("ids", "sizes", "vecs", "elements", "locals", "tiles")}
+        col = {c: t.column(c).to_pylist() for c in ("ids", "sizes", "vecs", "elements", "locals", "tiles", "ranks")}
         base = np.cumsum([0, *[len(x) // 8 for x in col["ids"]]])
         ids, size = np.frombuffer(b"".join(col["ids"]), np.int64), np.frombuffer(b"".join(col["sizes"]), np.int32)
         vec = np.frombuffer(b"".join(col["vecs"]), np.uint64).reshape(len(ids), -1)
-        g, tile = np.frombuffer(b"".join(col["elements"]), np.uint64), np.frombuffer(b"".join(col["tiles"]), np.uint8)
+        g, tile = np.frombuffer(b"".join(col["elements"]), np.uint32), np.frombuffer(b"".join(col["tiles"]), np.uint8)
+        rank = np.concatenate([np.frombuffer(x, f"<u{len(x) // len(n)}").astype(np.int64) for x, n in zip(col["ranks"], col["tiles"])])
         doc = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + o for x, o in zip(col["locals"], base)])
         order = np.argsort(size, kind="stable")
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         ids, size, vec, doc = ids[order], size[order].astype(np.int64), vec[order], place[doc]
+        order = np.lexsort((doc, g))
+        g, doc, tile, far = g[order], doc[order], tile[order], reach(size[doc], rank, num, den)[order]
         if tile.any() and (tile != 3).any():
-            pair = compare_tiles(np.sort(doc[tile == 1]), np.sort(doc[tile == 2]), vec, size, num, den, False)
-            pair = np.unique(pair)
+            ones = np.bitwise_count(vec).sum(1).astype(np.int64)
+            one, two = (doc[tile == 1], far[tile == 1]), (doc[tile == 2], far[tile == 2])
+            pair = np.unique(np.concatenate([compare_tiles(*x, *y, vec, ones, size, num, den) for x, y in ((one, two), (two, one))]))
             pair = np.stack([pair >> 32, pair & 0xFFFFFFFF], 1)
         else:
-            order = np.lexsort((doc, g))
-            g, doc = g[order], doc[order]
-            pair = compare_lists(doc, np.flatnonzero(np.append(True, g[1:] != g[:-1])), vec, size, num, den)
+            pair = compare_lists(doc, far, np.flatnonzero(np.append(True, g[1:] != g[:-1])), vec, size, num, den)
         a, b = ids[pair[:, 0]], ids[pair[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     counted = frequencies(packed, k, least_words, bits, range_bits)
-    blocks = packed.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(spread, "place bigint, key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary")
+    blocks = packed.groupBy("pack").cogroup(counted.groupBy("pack")).applyInArrow(spread, "place bigint, key bigint, ids binary, sizes binary, vecs binary, elements binary, locals binary, tiles binary, ranks binary")
     return blocks.repartition(tasks, "place").groupBy("place", "key").applyInArrow(compare, "a bigint, b bigint").where("a <> b").distinct()
 
 

@@ -133,3 +133,35 @@ def test_empty_table_and_extra_columns(spark):
     assert s.all_pairs().count() == 0 and s.classes().count() == 0
     two = spark.createDataFrame([(1, "one two three " * 8, "s", 1), (2, "one two three " * 8, "t", 2)], "id long, text string, sig string, rep int")
     assert [tuple(r) for r in neardup.Similar(two, "id", "text").all_pairs().collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("num,den", [(3, 5), (4, 5), (1, 2), (1, 1)])
+def test_similar_sets_reach_each_other_from_their_first_element(num, den):
+    rnd = random.Random(7)
+    met = 0
+    for _ in range(4000):
+        base = rnd.sample(range(300), rnd.randint(1, 60))
+        a, b = (sorted({x if rnd.random() < 0.85 else rnd.randrange(300) for x in base}) for _ in range(2))
+        if len(set(a) & set(b)) * den >= num * len(set(a) | set(b)):
+            first = min(set(a) & set(b))
+            assert len(b) <= neardup.reach(len(a), a.index(first), num, den) and len(a) <= neardup.reach(len(b), b.index(first), num, den)
+            met += 1
+    assert met > 50 and neardup.reach(30, 0, num, den) == 30 * den // num
+
+
+@pytest.mark.parametrize("n", [40, 300])
+def test_sets_out_of_reach_are_not_compared(n, monkeypatch):
+    import numpy as np
+
+    looked, within = [], neardup._within
+
+    def counted(a, b, num, den):
+        looked.append(np.broadcast(a, b).size)
+        return within(a, b, num, den)
+
+    monkeypatch.setattr(neardup, "_within", counted)
+    vec, size, doc, start = np.full((n, 8), 77, np.uint64), np.full(n, 100), np.arange(n), np.zeros(1, np.int64)
+    late = neardup.reach(size, np.full(n, 26), 3, 5)  # what two sets of 100 share from rank 26 on can't be 0.6 of both
+    assert len(neardup.compare_lists(doc, late, start, vec, size, 3, 5)) == 0 and sum(looked) == 0
+    early = neardup.reach(size, np.where(doc < 5, 25, 26), 3, 5)
+    assert len(neardup.compare_lists(doc, early, start, vec, size, 3, 5)) == 5 * 4 // 2 and sum(looked) < 10 * n
